@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papyra.llm import appearance, encode, leaks, neighbours
+from papyra.llm import appearance, encode, leaks, names, neighbours
 from papyra.session import table
 
 
@@ -22,6 +22,14 @@ def p3_embedding_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_entity_pairs(names.spelling_links(spark, table(spark, d, "papers"), "authors"))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.spelling_links(spark, table(spark, d, "papers"), "authors")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -56,7 +64,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return appearance.consistent_form(spark, table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_embedding_neighbours": p3_embedding_neighbours, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_clean": p7_clean, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {"p3_found": p3_found, "p3_embedding_neighbours": p3_embedding_neighbours, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_clean": p7_clean, "p8_found": p8_found, "p8_forms": p8_forms}
 ORACLE = {
     "p3_embedding_neighbours": """SELECT key_a, key_b, round(s, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY key_a ORDER BY s DESC, key_b) AS n FROM (
