@@ -9,12 +9,13 @@ HEAVY_SHARE = 0.002
 SALTS = 64
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
+def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE, counted: str | None = None) -> DataFrame:
     """The keys (null included) holding at least ``share`` of all rows: no more than 1/share of them.
 
-    Counted over all rows with map-side combining; an empty table has none.
+    Counted over all rows with map-side combining, or taken from ``df`` itself if it has one row per key with its count in
+    ``counted``. An empty table has none.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.select(*keys, F.col(counted).alias("__n")) if counted else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("__total"))
     return counts.join(F.broadcast(total), F.col("__n") >= F.col("__total") * F.lit(share)).select(*keys)
 
@@ -56,13 +57,13 @@ def key_statistics(df: DataFrame, keys: list[str], distinct: str, at: str, share
     )
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, share: float = HEAVY_SHARE, salts: int = SALTS, heavy: DataFrame | None = None) -> DataFrame:
     """Left outer sort-merge join on ``keys`` whose heavy left keys are spread over ``salts`` tasks.
 
     The right rows of heavy keys are repeated once per salt, all others once. Null keys match nothing and keep their left
-    rows, as in SQL. ``right`` may hold several rows per key.
+    rows, as in SQL. ``right`` may hold several rows per key. ``heavy``: the heavy keys where they are known already.
     """
-    heavy = heavy_keys(left.select(*keys), keys, share)
+    heavy = heavy_keys(left.select(*keys), keys, share) if heavy is None else heavy
     a = salted(left, keys, spread, heavy, salts)
     marks = heavy.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__heavy"))
     on = None
