@@ -47,7 +47,7 @@ FULL_OF_SHORT: dict[str, list[str]] = {}
 for _full, _short in SHORT_FORMS.items():
     for _s in _short.split():
         FULL_OF_SHORT.setdefault(_s, []).append(_full)
-COLLECTIVE_OF = {s: w for w, short in COLLECTIVE.items() for s in [w, *short.split()]}
+COLLECTIVE_OF = {s: w for w, short in COLLECTIVE.items() for s in [w, *short.split()]} | {"sg": "study group", "wg": "working group"}
 #: A token is a given name if it stands in the given name's place at least so often, as a share of all spellings and as a number, and more often than in the family name's. The share bounds the list that is broadcast: 1 / GIVEN_SHARE tokens.
 GIVEN_SHARE, GIVEN_LEAST = 3e-4, 3
 #: Log likelihoods of the channel: a form equal but for case, marks and order; a middle initial left out; an initial for a given name; a short form; one typing error.
@@ -102,7 +102,7 @@ def signature(name: str, given_names: set[str]) -> tuple[str, str, str, str] | N
     if not words or words == ["et", "al"]:
         return None
     if is_collective(words):
-        own = sorted(COLLECTIVE_OF.get(w, w) for w in words if w not in MINOR)
+        own = sorted(x for w in words if w not in MINOR for x in COLLECTIVE_OF.get(w, w).split())
         plain = [w for w in own if w not in COLLECTIVE] or own
         head = max(plain, key=lambda w: (len(w), w))
         own.remove(head)
@@ -129,6 +129,11 @@ def signature(name: str, given_names: set[str]) -> tuple[str, str, str, str] | N
     return "p", "".join(family), first, "".join(middle)[:1]
 
 
+def one_less(text: str, lo: int, hi: int) -> set[str]:
+    """The text and what is left of it without one of its letters in [lo, hi). Two texts that share one of these are an error apart."""
+    return {text, *(text[:i] + text[i + 1 :] for i in range(lo, hi) if text[i] != "|")}
+
+
 def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFrame:
     """``name, n, entity``: every spelling of the array column ``names`` with its count and the entity it is attached to.
 
@@ -167,7 +172,13 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (key, ask, offer, how): what a form asks for and what it can be found by."""
-        columns = ["key", "id", "n", "middle", "named", "initial", "ask", "how"]
+        columns = ["key", "id", "n", "middle", "named", "ask", "how"]
+
+        def near(text: str, how: float) -> list[tuple[str, float]]:
+            """The text itself, and its family name with an error besides."""
+            lo = text.index("|") + 1
+            return [(text, how), *((f"e{key}", how + TYPO) for key in one_less(text, lo, text.index("|", lo)))]
+
         for pdf in batches:
             out = []
             for kind, family, given, middle, n, form in pdf[["kind", "family", "given", "middle", "n", "id"]].itertuples(index=False, name=None):
@@ -175,22 +186,19 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
                 short = kind == "p" and len(given) < 2
                 text = f"{kind}|{family}|{given}"
                 if short:
-                    out.append((f"i{text}", *base, True, True, INITIAL))
-                    out.append((text, *base, True, True, SAME))
-                    out.append((text, *base, True, False, SAME))
+                    out += ((key, *base, True, how) for key, how in near(f"i{text}", INITIAL))
+                    out += ((text, *base, ask, SAME) for ask in (True, False))
                     continue
                 if kind == "p":
-                    out.append((f"ip|{family}|{given[0]}", *base, False, False, INITIAL))
+                    out += ((key, *base, False, how) for key, how in near(f"ip|{family}|{given[0]}", INITIAL))
                     for full in FULL_OF_SHORT.get(given, ()):
-                        out.append((f"sp|{family}|{full}", *base, False, True, SHORT))
-                    out.append((f"s{text}", *base, False, False, SHORT))
-                for key in {text, *(text[:i] + text[i + 1 :] for i in range(2, len(text)) if text[i] != "|")}:
-                    out.append((key, *base, False, True, TYPO))
-                    out.append((key, *base, False, False, TYPO))
+                        out += ((key, *base, True, how) for key, how in near(f"sp|{family}|{full}", SHORT))
+                    out += ((key, *base, False, how) for key, how in near(f"s{text}", SHORT))
+                out += ((key, *base, ask, TYPO) for key in one_less(text, text.index("|") + 1, len(text)) for ask in (True, False))
             yield pd.DataFrame(out, columns=columns)
 
-    found = forms.mapInPandas(keys, "key string, id string, n long, middle string, named string, initial boolean, ask boolean, how double").withColumn("key", F.xxhash64("key"))
-    asks = found.where("ask").select("key", "id", "n", "middle", "named", "initial", "how")
+    found = forms.mapInPandas(keys, "key string, id string, n long, middle string, named string, ask boolean, how double").withColumn("key", F.xxhash64("key"))
+    asks = found.where("ask").select("key", "id", "n", "middle", "named", "how")
     offers = found.where("not ask").select("key", F.col("id").alias("to"), F.col("n").alias("to_n"), F.col("middle").alias("to_middle"), F.col("named").alias("to_named"), F.col("how").alias("to_how"))
     met = asks.join(offers, "key").where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '')")
     same_name = F.expr("substring_index(id, '|', 3) = substring_index(to, '|', 3)")
