@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from papyra.operators.skew import salted_left_join
+from papyra.operators.skew import heavy_keys, salted_left_join
+from papyra.session import Cut
 
 # Letters of other scripts drawn like Latin ones, each line the letters and what they look like.
 LOOKALIKES = {
@@ -121,8 +122,9 @@ def consistent_form(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     split = F.regexp_extract_all("__text", F.lit(f"[{PLAIN}]?[^{PLAIN}]+|[{PLAIN}]+(?![^{PLAIN}])"), F.lit(0))
     at = rows.where(special).select("__key", F.posexplode(split).alias("pos", "piece"))
     odd = at.where(F.col("piece").rlike(f"[^{PLAIN}]"))
-    forms = consistent_pieces(spark, odd.select("piece").distinct())
-    done = salted_left_join(odd, forms, ["piece"], F.col("__key")).select("__key", "pos", "form")
+    counts = Cut(spark, "pieces")(odd.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
+    forms = consistent_pieces(spark, counts.select("piece"))
+    done = salted_left_join(odd, forms, ["piece"], F.col("__key"), heavy=heavy_keys(counts, ["piece"], counted="n")).select("__key", "pos", "form")
     pieces = done.unionByName(at.where(~F.col("piece").rlike(f"[^{PLAIN}]")).select("__key", "pos", F.col("piece").alias("form")))
     whole = pieces.groupBy("__key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]), "").alias("form"))
     return plain.unionByName(whole).withColumnRenamed("__key", key)
@@ -137,7 +139,7 @@ def lookalike_pairs(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     """
     forms = consistent_form(spark, docs, key, text)
     stored = docs.select(key, F.sha2(F.col(text), 256).alias("raw"))
-    seen = forms.where(F.col("form").rlike(r"\S")).select(key, F.sha2("form", 256).alias("cls")).join(stored, key)
+    seen = Cut(spark, "forms")(forms.where(F.col("form").rlike(r"\S")).select(key, F.sha2("form", 256).alias("cls")).join(stored, key))
     mixed = seen.groupBy("cls").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select("cls")
     inside = seen.join(mixed, "cls", "left_semi")
     a = inside.select("cls", F.col(key).alias("key_a"), F.col("raw").alias("raw_a"))
