@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from papyra.operators.skew import salted_left_join
+from papyra.operators.skew import heavy_keys, salted_left_join
+from papyra.session import Cut
 
 #: The folder of the tokenizer files, and the file used.
 TOKENIZERS = os.environ.get("PAPYRA_TOKENIZERS", "/opt/tokenizers")
@@ -77,8 +78,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     unique; other columns are not read.
     """
     at = pre_tokens(docs, key, text, folder)
-    ids = encode_words(at.select("word").distinct(), folder)
-    joined = salted_left_join(at, ids, ["word"], F.col("__key")).select("__key", "pos", "ids")
+    words = Cut(docs.sparkSession, "words")(at.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    ids = encode_words(words.select("word"), folder)
+    joined = salted_left_join(at, ids, ["word"], F.col("__key"), heavy=heavy_keys(words, ["word"], counted="n")).select("__key", "pos", "ids")
     whole = joined.groupBy("__key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     none = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(key).alias("__key"), F.array().cast("array<int>").alias("ids"))
     return whole.unionByName(none).withColumnRenamed("__key", key)
