@@ -20,7 +20,8 @@ def plain_key(c: Column) -> Column:
 def plain_identifier(namespace: Column, c: Column) -> Column:
     """A paper identifier apart from white space, letter case, a leading namespace name with colon and, for arXiv, a version ending; an empty one is null."""
     bare = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)\s+", "")), r"^[a-z][a-z0-9_.-]*:", "")
-    return F.nullif(F.when(namespace == "arxiv", F.regexp_replace(bare, r"v[0-9]+$", "")).otherwise(bare), F.lit(""))
+    version = F.when(namespace == "arxiv", r"v[0-9]+$").otherwise(r"$^")  # the second matches nothing in a text that isn't empty
+    return F.nullif(F.regexp_replace(bare, version, F.lit("")), F.lit(""))
 
 
 def lifetimes(records: DataFrame, key: str, since: str, removals: DataFrame, record_type: str) -> DataFrame:

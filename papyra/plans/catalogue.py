@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from papyra.plans import records
+from papyra.plans import literature, records
 
-FLAGSHIP = "p1_key_stats"
-QUERIES = {**records.QUERIES}
-ORACLE = {**records.ORACLE}
+FLAGSHIP = "co_mentioned_genes"
+QUERIES = {**records.QUERIES, **literature.QUERIES}
+ORACLE = {**records.ORACLE, **literature.ORACLE}

@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks to spread work over that is heavier than its bytes tell, so that sizes alone would give too few."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir; a local temporary one where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
