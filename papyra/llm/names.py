@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from papyra.llm.appearance import parts
 from papyra.operators.skew import salted_left_join
-from papyra.session import Cut
+from papyra.session import Cut, tasks
 
 # English short forms of given names, each line a name and its short forms.
 SHORT_FORMS = {
@@ -167,7 +167,7 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
             got = [signature(x, shared.value) or (None, None, None, None) for x in pdf["name"]]
             yield pd.concat([pdf, pd.DataFrame(got, columns=["kind", "family", "given", "middle"], index=pdf.index)], axis=1)
 
-    signed = cut(spelled.mapInPandas(sign, "name string, n long, kind string, family string, given string, middle string"))
+    signed = cut(spelled.repartition(tasks(spark), "name").mapInPandas(sign, "name string, n long, kind string, family string, given string, middle string"))
     forms = cut(signed.where("kind is not null").groupBy("kind", "family", "given", "middle").agg(F.sum("n").alias("n")).withColumn("id", F.concat_ws("|", "kind", "family", "given", "middle")))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,10 +197,10 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
                 out += ((key, *base, ask, TYPO) for key in one_less(text, text.index("|") + 1, len(text)) for ask in (True, False))
             yield pd.DataFrame(out, columns=columns)
 
-    found = forms.mapInPandas(keys, "key string, id string, n long, middle string, named string, ask boolean, how double").withColumn("key", F.xxhash64("key"))
+    found = forms.repartition(tasks(spark), "id").mapInPandas(keys, "key string, id string, n long, middle string, named string, ask boolean, how double").withColumn("key", F.xxhash64("key"))
     asks = found.where("ask").select("key", "id", "n", "middle", "named", "how")
     offers = found.where("not ask").select("key", F.col("id").alias("to"), F.col("n").alias("to_n"), F.col("middle").alias("to_middle"), F.col("named").alias("to_named"), F.col("how").alias("to_how"))
-    met = asks.join(offers, "key").where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '')")
+    met = asks.join(offers.hint("merge"), "key").where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '')")
     same_name = F.expr("substring_index(id, '|', 3) = substring_index(to, '|', 3)")
     above = F.expr("to_n > n or (to_n = n and to < id)")
     fits = F.when(same_name, (F.col("middle") == "") & (F.col("to_middle") != "")).when(F.col("how") == TYPO, above & ((F.col("named") == "") | (F.col("to_named") == "") | (F.col("named") == F.col("to_named")))).otherwise(True)
