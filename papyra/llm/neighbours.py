@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from papyra.session import Cut
+from papyra.session import Cut, tasks
 
 #: Rows a block holds on average, and the most blocks there are (each costs a comparison per row).
 ROWS_A_BLOCK = 256
@@ -181,7 +181,7 @@ def nearest_vectors(spark: SparkSession, rows: DataFrame, key: str, vector: str,
             yield from close()
 
     placed = vectors.mapInArrow(place, "tile long, guest boolean, cls binary, v array<float>")
-    tiles = placed.repartition("tile").sortWithinPartitions("tile", "guest")
+    tiles = placed.repartition(tasks(spark), "tile").sortWithinPartitions("tile", "guest")
     close_pairs = tiles.mapInArrow(multiply, "a binary, b binary, s double")
     best = Window.partitionBy("a").orderBy(F.col("s").desc(), "b")
     merged = close_pairs.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("a", "b", "s")
