@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from papyra.plans import literature, records
+from papyra.plans import literature, records, writes
 
 FLAGSHIP = "co_mentioned_genes"
-QUERIES = {**records.QUERIES, **literature.QUERIES}
-ORACLE = {**records.ORACLE, **literature.ORACLE}
+QUERIES = {**records.QUERIES, **literature.QUERIES, **writes.QUERIES}
+ORACLE = {**records.ORACLE, **literature.ORACLE, **writes.ORACLE}
