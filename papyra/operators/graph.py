@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from papyra.operators.dedupe import one_per_key
+from papyra.session import Cut
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, anchor: str, at: str, key: str, columns: list[str], limit: int | None = None, order: list | None = None) -> DataFrame:
@@ -73,12 +74,12 @@ def nearest_mapped_ancestors(is_a: DataFrame, mapped: DataFrame, most: int = 100
     links = is_a.where("child is not null and parent is not null").select("child", "parent").distinct()
     known = mapped.select(F.col("id").alias("at")).distinct().withColumn("hit", F.lit(True))
     open_ = links.select(F.col("child").alias("id"), F.col("parent").alias("at"))
-    seen, found = open_, []
+    seen, found, cut = open_, [], Cut(is_a.sparkSession, "ancestors")
     for _ in range(most):
         marked = open_.join(known, "at", "left")
         found.append(marked.where("hit").select("id", F.col("at").alias("ancestor")))
         step = marked.where("hit is null").select("id", F.col("at").alias("child")).join(links, "child").select("id", F.col("parent").alias("at")).distinct()
-        open_ = step.join(seen, ["id", "at"], "left_anti").checkpoint()
+        open_ = cut(step.join(seen, ["id", "at"], "left_anti"))
         if open_.isEmpty():
             break
         seen = seen.unionByName(open_)

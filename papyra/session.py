@@ -35,14 +35,14 @@ def tasks(spark: SparkSession) -> int:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by spark.checkpoint.dir; a local temporary one where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="papyra-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="papyra-"))
+    return sc.getCheckpointDir()
 
 
 class Cut:
