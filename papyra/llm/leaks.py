@@ -120,10 +120,12 @@ def verbatim_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key
     documents into shards of bounded size, sorts a suffix array of each, and binary-searches every suffix of the
     evaluation texts in it. The evaluation texts are the stated query set: they are read in blocks of bounded size, each
     sent to all tasks, so their number has no limit. Null and empty texts, and items shorter than ``width``, match nothing;
-    copies of documents or items each have their own matches. Both keys must be unique.
+    copies of documents or items each have their own matches. Both keys must be unique; if they have one
+    name, the item's column is called ``item_`` and that name.
     """
     corpus = words_of(spark, docs, key, text)
-    kinds = f"{key} {docs.schema[key].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, doc_word long, item_word long, n_words long"
+    named = item if item != key else f"item_{item}"
+    kinds = f"{key} {docs.schema[key].dataType.simpleString()}, {named} {items.schema[item].dataType.simpleString()}, doc_word long, item_word long, n_words long"
     blocks, block, size = [], [], 0
     for row in words_of(spark, items, item, text).toLocalIterator():
         block.append((row[0], row[1]))
@@ -137,7 +139,7 @@ def verbatim_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             tests, held, n = TestSet(shared.value, width), [], 0
-            names = [key, item, "doc_word", "item_word", "n_words"]
+            names = [key, named, "doc_word", "item_word", "n_words"]
             for pdf in batches:
                 for k, w in zip(pdf[key], pdf["words"]):
                     held.append((k, w))
