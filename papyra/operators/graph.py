@@ -46,6 +46,7 @@ def neighbourhood(edges: DataFrame, seed: str, depth: int) -> DataFrame:
     """
     depth = max(1, min(3, depth))
     once = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    once = once if depth == 1 else Cut(edges.sparkSession, "edges")(once)  # read once for all steps
     both = once.where("src != dst").select("src", "dst").unionByName(once.where("src != dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     frontier = both.where(F.col("src") == seed).select("dst").distinct()
     first, reached = frontier, [frontier]
@@ -65,25 +66,25 @@ def neighbourhood(edges: DataFrame, seed: str, depth: int) -> DataFrame:
     return others.unionByName(reduce(DataFrame.unionByName, closed).limit(1))
 
 
-def nearest_mapped_ancestors(is_a: DataFrame, mapped: DataFrame, most: int = 100) -> DataFrame:
+def nearest_mapped_ancestors(is_a: DataFrame, mapped: DataFrame) -> DataFrame:
     """``id, ancestor``: for every child of ``is_a(child, parent)``, the first mapped node on each path up.
 
-    A search stops at a mapped node and goes on through others; rounds end when no search is open. Seen pairs are not
-    followed twice, so cycles end too; ``most`` bounds the rounds.
+    A search stops at a mapped node and goes on through others. Open searches are composed with themselves, so after round
+    i they stand 2^i links up: the rounds are logarithmic in the depth. Searches that ran into a root or that have gone
+    further than there are links (a cycle without mapped nodes) end without result.
     """
-    links = is_a.where("child is not null and parent is not null").select("child", "parent").distinct()
+    cut = Cut(is_a.sparkSession, "ancestors")
     known = mapped.select(F.col("id").alias("at")).distinct().withColumn("hit", F.lit(True))
-    open_ = links.select(F.col("child").alias("id"), F.col("parent").alias("at"))
-    seen, found, cut = open_, [], Cut(is_a.sparkSession, "ancestors")
-    for _ in range(most):
-        marked = open_.join(known, "at", "left")
-        found.append(marked.where("hit").select("id", F.col("at").alias("ancestor")))
-        step = marked.where("hit is null").select("id", F.col("at").alias("child")).join(links, "child").select("id", F.col("parent").alias("at")).distinct()
-        open_ = cut(step.join(seen, ["id", "at"], "left_anti"))
-        if open_.isEmpty():
-            break
-        seen = seen.unionByName(open_)
-    return reduce(DataFrame.unionByName, found).distinct()
+    links = is_a.where("child is not null and parent is not null").select(F.col("child").alias("id"), F.col("parent").alias("at")).distinct()
+    pairs = cut(links.join(known, "at", "left").select("id", "at", F.coalesce("hit", F.lit(False)).alias("hit")))
+    most, walked = pairs.count(), 1
+    while walked <= most and not pairs.where("not hit").isEmpty():
+        ahead = pairs.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("hit").alias("met"))
+        further = pairs.where("not hit").join(ahead, "at").select("id", F.col("next").alias("at"), F.col("met").alias("hit"))
+        step = cut(pairs.where("hit").unionByName(further).distinct())
+        cut.drop(pairs)
+        pairs, walked = step, 2 * walked
+    return pairs.where("hit").select("id", F.col("at").alias("ancestor")).distinct()
 
 
 def project_is_a(is_a: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from papyra.functions.text import cosine, search_terms, words
+from papyra.functions.text import cosine, search_terms
 
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 
 
-def is_word(term: str):
-    return lambda x: x == term
-
-
 def keyword_search(docs: DataFrame, query: str, key: str, text: Column, keep: Column | None = None, top: int = 10, fallback: bool = True) -> DataFrame:
     """``key, score``: documents by BM25 (ties: smaller key). All terms must match; if no document has all, any may.
 
@@ -22,9 +20,9 @@ def keyword_search(docs: DataFrame, query: str, key: str, text: Column, keep: Co
     the number of matches needed come from a one-row aggregate that is broadcast.
     """
     terms = search_terms(query)
-    w = words(text)
-    tf = [F.size(F.filter("__w", is_word(t))).cast("double").alias(f"__tf{i}") for i, t in enumerate(terms)]
-    lean = docs.select(key, w.alias("__w"), (keep if keep is not None else F.lit(True)).alias("__keep")).where("size(__w) > 0").select(key, "__keep", F.size("__w").cast("double").alias("__len"), *tf)
+    low = F.lower(text)
+    tf = [F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(t)}(?![\p{{L}}\p{{N}}])")).cast("double").alias(f"__tf{i}") for i, t in enumerate(terms)]
+    lean = docs.select(key, (keep if keep is not None else F.lit(True)).alias("__keep"), F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).cast("double").alias("__len"), *tf).where("__len > 0")
     has = [F.col(f"__tf{i}") > 0 for i in range(len(terms))]
     matched = sum((h.cast("int") for h in has), F.lit(0))
     facts = lean.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__len").alias("__avg"), F.max(F.when(F.col("__keep"), matched)).alias("__most"), *[F.count_if(h).cast("double").alias(f"__df{i}") for i, h in enumerate(has)])
