@@ -46,7 +46,7 @@ def tsv(spark: SparkSession, path: str, columns: list[str], skip_header: bool =
     """A tab-separated file without quoting, as strings and ``pos``, which grows in file order; rows of another width are dropped."""
     parts = F.split("value", "\t", -1)
     rows = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value"), F.monotonically_increasing_id().alias("pos"))
-    rows = rows.where(F.size(parts) == len(columns)).select("pos", *[parts[i].alias(c) for i, c in enumerate(columns)])
+    rows = rows.where(F.size(parts) == len(columns)).select("pos", *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
     return rows.where("pos > 0") if skip_header else rows
 
 
@@ -108,7 +108,7 @@ def curated_mappings(spark: SparkSession, path: str) -> DataFrame:
     if header is None:
         return spark.createDataFrame([], "accession string, ui string")
     names = header[0].rstrip("\r").split("\t")
-    a, b = (F.lower(F.split("value", "\t")[names.index(c)]) for c in ("subject_id", "object_id"))
+    a, b = (F.lower(F.get(F.split("value", "\t"), F.lit(names.index(c)))) for c in ("subject_id", "object_id"))
     pairs = lines.where(~F.col("value").startswith("subject_id")).select(a.alias("a"), b.alias("b"))
     swap = F.col("a").startswith("mesh:")
     both = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("c"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("m"))

@@ -43,7 +43,7 @@ def snapshot_papers(spark: SparkSession, path: str, categories: list[str] | None
     rows = raw.select(
         F.col("id").alias("arxiv_id"), F.lit(None).cast("string").alias("pmid"), F.lit(None).cast("string").alias("s2_paper_id"), text.one_line(F.col("title")).alias("title"), text.one_line(F.col("abstract")).alias("abstract"), names.alias("authors"),
         F.transform(codes, lambda c: F.concat(F.lit("arxiv:"), c)).alias("categories"), F.concat(F.lit("arxiv:"), F.try_element_at(codes, F.lit(1))).alias("primary_category"),
-        text.rfc_date(F.col("versions")[0]["created"]).alias("published_date"), F.col("update_date").try_cast("date").alias("updated_date"),
+        text.rfc_date(F.get("versions", F.lit(0))["created"]).alias("published_date"), F.col("update_date").try_cast("date").alias("updated_date"),
         text.given(F.trim("doi")).alias("doi"), text.given(F.trim("journal-ref")).alias("journal_ref"), text.given(F.trim("comments")).alias("comments"), F.lit("kaggle").alias("source"), codes.alias("__codes"),
     )
     if categories:
