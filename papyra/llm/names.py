@@ -64,7 +64,9 @@ def tokens(name: str) -> tuple[list[str], list[str]]:
     """The words before and after the first comma (none: all before), as they are cased, without titles and marks."""
     s = re.sub(r"\([^)]*\)|\[[^\]]*\]|[0-9*†‡§¶#^]+", " ", folded(name))
     s = re.sub(r"(?<=\w)['’`´-]+(?=\w)", "", s)
-    halves = [[t for t in re.findall(r"[^\W_]+", h) if t.lower() not in TITLES] for h in s.split(",")]
+    halves = [re.findall(r"[^\W_]+", h) for h in s.split(",")]
+    alone = sum(t.lower() not in TITLES for h in halves for t in h) < 2  # then capitals like MD can only be initials
+    halves = [[t for t in h if t.lower() not in TITLES or alone and t.isupper() and len(t) < 4] for h in halves]
     halves = [h for h in halves if h]
     return (halves[0], [t for h in halves[1:] for t in h]) if halves else ([], [])
 
@@ -141,10 +143,10 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
     marks; which word is the given name is learned from all spellings. Signatures are the candidate canonical forms, and
     their counts over all rows the prior. Each signature looks for the one it is a variant of, among those that share its
     family and given name but for one letter (deletion keys), whose given name it abbreviates (same family, initial or
-    short form) or which has a middle initial that it lacks, and is attached to the one with the highest posterior: log
-    prior plus the log likelihood of the variation. A typing error is only believed towards the more frequent form (ties:
-    the smaller one), and not between two known given names; conflicting middle initials exclude each other. Attachments
-    are followed to their end by pointer doubling.
+    short form) or which differ by a middle initial more or less, and is attached to the one with the highest posterior:
+    log prior plus the log likelihood of the variation. A typing error or a middle initial is only believed towards the
+    more frequent form (ties: the smaller one), an error not between two known given names; of two conflicting middle
+    initials neither is a variant of the other. Attachments are followed to their end by pointer doubling.
 
     Only distinct spellings and signatures are joined, and a key brings together forms one letter apart, or the few
     initials of a family with its given names, so no group grows to all pairs. Nulls, empty names and ``et al.`` name
@@ -203,7 +205,7 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
     met = asks.join(offers.hint("merge"), "key").where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '')")
     same_name = F.expr("substring_index(id, '|', 3) = substring_index(to, '|', 3)")
     above = F.expr("to_n > n or (to_n = n and to < id)")
-    fits = F.when(same_name, (F.col("middle") == "") & (F.col("to_middle") != "")).when(F.col("how") == TYPO, above & ((F.col("named") == "") | (F.col("to_named") == "") | (F.col("named") == F.col("to_named")))).otherwise(True)
+    fits = F.when(same_name, above).when(F.col("how") == TYPO, above & ((F.col("named") == "") | (F.col("to_named") == "") | (F.col("named") == F.col("to_named")))).otherwise(True)
     cost = F.when(same_name, F.lit(NO_MIDDLE)).otherwise(F.col("how") + F.when(F.col("middle") != F.col("to_middle"), NO_MIDDLE).otherwise(SAME))
     best = cut(met.where(fits).groupBy("id").agg(F.max(F.struct((F.log("to_n") + cost).alias("score"), "to_n", "to")).alias("x")).select("id", F.col("x.to").alias("p")))
 
