@@ -113,6 +113,18 @@ def shard_matches(docs: list[tuple[object, str]], tests: TestSet, width: int) ->
     return [(docs[doc_at[p]][0], k := tests.owner[s], int(word_at[p]), int(s - base[k]), int(m)) for p, s, m in zip(pos, q, size)]
 
 
+def blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
+    """(key, words) of all items, in lists of about BLOCK_WORDS words; one empty list if there are none."""
+    block, size = [], 0
+    for row in items.toLocalIterator():
+        block.append((row[0], row[1]))
+        size += len(row[1]) // 2 + 1
+        if size >= BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+    yield block
+
+
 def verbatim_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", width: int = MIN_WORDS) -> DataFrame:
     """``key, item, doc_word, item_word, n_words``: maximal runs of at least ``width`` words that a document shares with an item.
 
@@ -126,16 +138,9 @@ def verbatim_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key
     corpus = words_of(spark, docs, key, text)
     named = item if item != key else f"item_{item}"
     kinds = f"{key} {docs.schema[key].dataType.simpleString()}, {named} {items.schema[item].dataType.simpleString()}, doc_word long, item_word long, n_words long"
-    blocks, block, size = [], [], 0
-    for row in words_of(spark, items, item, text).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1]) // 2 + 1
-        if size >= BLOCK_WORDS:
-            blocks.append(block)
-            block, size = [], 0
     out = None
-    for part in [*blocks, block]:
-        shared = spark.sparkContext.broadcast(part)
+    for part in blocks(words_of(spark, items, item, text)):
+        shared = spark.sparkContext.broadcast(part)  # lies in a file from here on
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             tests, held, n = TestSet(shared.value, width), [], 0
