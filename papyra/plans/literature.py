@@ -641,3 +641,20 @@ def overview_panel(v: Views) -> DataFrame:
     total = v.paper.agg(F.lit("papers").alias("what"), F.count(F.lit(1)).cast("string").alias("value"))
     by = v.paper.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.concat(F.lit("source "), "source").alias("what"), "value")
     return total.unionByName(top_category(v).select(F.lit("top_category").alias("what"), F.col("code").alias("value"))).unionByName(by)
+
+
+@query("SELECT kind, count(*) AS n FROM labels WHERE kind IN ('Gene', 'Compound', 'Organism', 'Disease', 'Pathway') GROUP BY 1 HAVING count(*) > 0")
+def searchable_types(v: Views) -> DataFrame:
+    """Types with records that the registry knows to have a name."""
+    from papyra.registry import DEFAULT
+
+    counts = {r.kind: r.n for r in type_counts(v).collect()}  # one row a type
+    kinds = DEFAULT.searchable(counts)
+    return v.spark.createDataFrame([(k, counts[k]) for k in kinds], "kind string, n long")
+
+
+@query("SELECT rel, string_agg(DISTINCT src_kind || '>' || dst_kind, ',' ORDER BY src_kind || '>' || dst_kind) AS ends FROM all_edges GROUP BY 1")
+def cached_endpoints(v: Views) -> DataFrame:
+    """The end points of every edge type as one cached row each."""
+    ends = F.array_join(F.array_sort(F.collect_set(F.concat_ws(">", "src_kind", "dst_kind"))), ",")  # bounded by the pairs of types
+    return v.all_edges.groupBy("rel").agg(ends.alias("ends"))

@@ -83,7 +83,9 @@ class Views:
         return self.entity.where(F.col("type") == kind).select(F.col("id").alias(key), "name")
 
     def typed_mention(self, kind: str) -> DataFrame:
-        return self.mention.where(F.col("dst_type") == kind).select(F.col("paper").alias("src"), "dst")
+        """MENTIONS edges of one type without their source: no ranking needed, only distinct pairs."""
+        pairs = self.raw("entity_mentions").where((F.col("vertex_type") == kind) & F.col("paper_id").isNotNull() & F.col("entity_id").isNotNull()).select(F.col("paper_id").alias("src"), F.col("entity_id").alias("dst"))
+        return pairs.distinct().join(self.raw("papers").select(F.col("id").alias("src")), "src", "left_semi")
 
     @property
     def pathway(self) -> DataFrame:

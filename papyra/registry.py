@@ -90,6 +90,10 @@ class EdgeType:
         return override or kinds[0]
 
 
+# Types that have a name and a key but are nothing that is searched for.
+NOT_SEARCHED = ("Paper", "Author", "Category", "GraphStats", "IngestState")
+
+
 @dataclass
 class Registry:
     nodes: dict[str, NodeType] = field(default_factory=dict)
@@ -128,7 +132,7 @@ class Registry:
         for statement in self.ddl(schema):
             spark.sql(statement)
 
-    def searchable(self, counts: dict[str, int], hidden: tuple[str, ...] = ()) -> list[str]:
+    def searchable(self, counts: dict[str, int], hidden: tuple[str, ...] = NOT_SEARCHED) -> list[str]:
         """Types with records, a name and a key, except hidden ones."""
         return sorted(n for n, t in self.nodes.items() if counts.get(n) and n not in hidden and any(p.name == "name" for p in t.all_props))
 

@@ -238,3 +238,40 @@ def test_reference_files_into_the_graph(spark, tmp_path):
     path = put(tmp_path, "a.json", json.dumps({"documents": [{"pmid": "1", "passages": [{"annotations": [note("Gene", "1", None, "ncbi_gene", name="G")]}]}]}))
     assert whole.load_mentions(s, path) == {"mentions": 1, "checked": 3} and whole.load_mentions(s, path) == {"mentions": 0, "checked": 0}
     assert {tuple(r) for r in s.read("Gene").collect()} == {("ncbigene:1", "G")} and s.read("MENTIONS").first().src == "pmid:1"
+
+
+# stored counters
+
+
+def test_counters_hints_and_endpoints(spark, tmp_path):
+    from papyra import stats
+
+    s = Store(spark, str(tmp_path / "store"))
+    assert stats.counters(s).first().papers == 0 and stats.hints(s) == []
+    papers = spark.createDataFrame([("a", False, 3, [1.0], D(2020, 1, 1)), ("b", False, None, None, D(2021, 1, 1)), ("s", True, None, None, D(1999, 1, 1))], "id string, is_stub boolean, citation_count long, embedding array<float>, published_date date")
+    whole._nodes(s, "Paper", papers, True)
+    whole._nodes(s, "Gene", spark.createDataFrame([("g", "GEN1"), ("h", "GEN2")], "gene_id string, name string"), True)
+    whole._nodes(s, "Category", spark.createDataFrame([("c",), ("d",)], "code string"), True)
+    whole._edges(s, "IN_CATEGORY", spark.createDataFrame([("a", "c"), ("b", "c")], "src string, dst string"), whole.CreateMissing.NONE, False)
+    s.write("MENTIONS", spark.createDataFrame([("a", "h", "Gene", "x"), ("b", "h", "Gene", "x"), ("a", "g", "Gene", "x")], "src string, dst string, dst_type string, source string"))
+    r = stats.rebuild(s).first()
+    assert (r.papers, r.enriched, r.embedded, r.stubs, r.authors, r.categories, r.earliest, r.latest) == (2, 1, 1, 1, 0, 2, D(2020, 1, 1), D(2021, 1, 1))
+    assert r.hints == ["GEN2"] and stats.placeholder(r.hints) == "e.g. GEN2" and r.endpoints["MENTIONS"] == [("Paper", "Gene")] and r.endpoints["IS_A"] == []
+    assert {(c.code, c.paper_count) for c in s.read("Category").collect()} == {("c", 2), ("d", 0)}
+    delta = spark.createDataFrame([(1, None, 1, -1, 0, 0, D(2019, 1, 1), None)], stats.COUNTERS)
+    r = stats.apply_delta(s, delta).first()
+    assert (r.papers, r.enriched, r.embedded, r.stubs, r.earliest, r.latest, r.hints) == (3, 1, 2, 0, D(2019, 1, 1), D(2021, 1, 1), ["GEN2"])
+
+
+def test_changed_sources_are_loaded_and_saved_after_the_load(spark, tmp_path):
+    from papyra import stats
+
+    s, ran = Store(spark, str(tmp_path / "store")), []
+    now = spark.createDataFrame([("a", "1"), ("b", "1"), ("z", "1")], "source string, version string")
+
+    def fails():
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        stats.reingest_changed(s, now, {"a": lambda: ran.append("a"), "b": fails})
+    assert ran == ["a"] and stats.reingest_changed(s, now, {"a": lambda: ran.append("a"), "b": lambda: ran.append("b")}) == ["b"] and ran == ["a", "b"]
