@@ -21,7 +21,9 @@ class PropType(Enum):
 
     @property
     def spark(self) -> T.DataType:
-        return T._parse_datatype_string(self.value)
+        simple = {"STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "FLOAT": T.FloatType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampType()}
+        inner = self.value.removeprefix("ARRAY<").removesuffix(">")
+        return simple[inner] if inner == self.value else T.ArrayType(simple[inner])
 
 
 @dataclass(frozen=True)
