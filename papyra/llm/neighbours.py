@@ -17,7 +17,7 @@ MOST_BLOCKS = 8192
 #: The blocks' centres are fitted on a sample of so many rows per block: at most SAMPLE_A_BLOCK * MOST_BLOCKS rows.
 SAMPLE_A_BLOCK = 32
 #: Every vector is compared with the blocks of its nearest centres.
-PROBES = 3
+PROBES = 4
 #: A block with more rows is split, and so is a chunk of a product.
 TILE = 4096
 

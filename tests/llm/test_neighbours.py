@@ -72,7 +72,7 @@ def test_quantised_products_stay_within_their_bound():
     assert (np.abs(near - x @ y.T) <= ry[None, :] + rx[:, None] * (1 + ry[None, :]) + 1e-12).all()
 
 
-def test_recall_of_near_pairs_with_three_blocks(spark):
+def test_recall_of_near_pairs_with_the_default_blocks(spark):
     """Against brute force on vectors without structure but for near pairs."""
     rng = np.random.default_rng(4)
     base = rng.normal(size=(1500, 64))
@@ -84,4 +84,4 @@ def test_recall_of_near_pairs_with_three_blocks(spark):
     want = {(f"{i:04d}", f"{j:04d}") for i, j in zip(*np.nonzero(s >= 0.9))}
     df = spark.createDataFrame([(f"{i:04d}", [float(z) for z in v]) for i, v in enumerate(x)], "id string, v array<float>")
     got = {(r.key_a, r.key_b) for r in N.nearest_vectors(spark, df, "id", "v", 5, 64, 0.9).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want) > 100
+    assert got <= want and len(got) >= 0.97 * len(want) > 100
