@@ -113,12 +113,13 @@ def consistent_form(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     carry their marks), are sent through the table, every distinct run once. Runs are joined back (salted, as one may hold
     a third of them) and the text is rebuilt from its positioned pieces.
 
-    ``key`` must be unique. A null text has a null form, an empty one the empty form. Very long texts are handled like
-    others: a text is one row before and after. Columns other than the two are not read and not returned.
+    A key has one text; rows repeated exactly count once, and rows without key are left out. A null text has a null form,
+    an empty one the empty form. Very long texts are handled like others: a text is one row before and after. Columns other
+    than the two are not read and not returned.
     """
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__key is not null")
     special = F.col("__text").rlike(f"[^{PLAIN}]")
-    plain = rows.where(F.col("__text").isNull() | ~special).select("__key", F.col("__text").alias("form"))
+    plain = rows.where(F.col("__text").isNull() | ~special).select("__key", F.col("__text").alias("form")).distinct()
     split = F.regexp_extract_all("__text", F.lit(f"[{PLAIN}]?[^{PLAIN}]+|[{PLAIN}]+(?![^{PLAIN}])"), F.lit(0))
     at = rows.where(special).select("__key", F.posexplode(split).alias("pos", "piece"))
     odd = at.where(F.col("piece").rlike(f"[^{PLAIN}]"))
@@ -126,7 +127,7 @@ def consistent_form(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     forms = consistent_pieces(spark, counts.select("piece"))
     done = salted_left_join(odd, forms, ["piece"], F.col("__key"), heavy=heavy_keys(counts, ["piece"], counted="n")).select("__key", "pos", "form")
     pieces = done.unionByName(at.where(~F.col("piece").rlike(f"[^{PLAIN}]")).select("__key", "pos", F.col("piece").alias("form")))
-    whole = pieces.groupBy("__key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]), "").alias("form"))
+    whole = pieces.groupBy("__key").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("pos", "form"))), lambda x: x["form"]), "").alias("form"))
     return plain.unionByName(whole).withColumnRenamed("__key", key)
 
 
@@ -138,7 +139,7 @@ def lookalike_pairs(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     compared by 256-bit digests of form and text; hot classes are salted.
     """
     forms = consistent_form(spark, docs, key, text)
-    stored = docs.select(key, F.sha2(F.col(text), 256).alias("raw"))
+    stored = docs.select(key, F.sha2(F.col(text), 256).alias("raw")).distinct()
     seen = Cut(spark, "forms")(forms.where(F.col("form").rlike(r"\S")).select(key, F.sha2("form", 256).alias("cls")).join(stored, key))
     mixed = seen.groupBy("cls").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select("cls")
     inside = seen.join(mixed, "cls", "left_semi")

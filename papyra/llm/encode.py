@@ -41,7 +41,7 @@ def pre_tokens(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
     Split in the JVM; texts with code points that the JVM's Unicode tables don't know are split by the tokenizer itself, as
     newer tables may call them letters.
     """
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__text != ''")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__key is not null and __text != ''")
     unknown = F.col("__text").rlike(r"\p{Cn}")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,15 +74,15 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     """``key, ids``: the token ids of every text, without special tokens.
 
     Texts are exploded to positioned pre-tokens; each distinct one is encoded once; its ids are joined back (very frequent
-    ones salted) and the text's ids reassembled by position. A null or empty text has the empty list. ``key`` must be
-    unique; other columns are not read.
+    ones salted) and the text's ids reassembled by position. A null or empty text has the empty list. A key has
+    one text; rows repeated exactly count once, and rows without key are left out. Other columns are not read.
     """
     at = pre_tokens(docs, key, text, folder)
     words = Cut(docs.sparkSession, "words")(at.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     ids = encode_words(words.select("word"), folder)
     joined = salted_left_join(at, ids, ["word"], F.col("__key"), heavy=heavy_keys(words, ["word"], counted="n")).select("__key", "pos", "ids")
-    whole = joined.groupBy("__key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    none = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(F.col(key).alias("__key"), F.array().cast("array<int>").alias("ids"))
+    whole = joined.groupBy("__key").agg(F.flatten(F.transform(F.sort_array(F.collect_set(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
+    none = docs.where(F.col(key).isNotNull() & (F.col(text).isNull() | (F.col(text) == ""))).select(F.col(key).alias("__key")).distinct().withColumn("ids", F.array().cast("array<int>"))
     return whole.unionByName(none).withColumnRenamed("__key", key)
 
 

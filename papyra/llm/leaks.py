@@ -132,8 +132,8 @@ def verbatim_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key
     documents into shards of bounded size, sorts a suffix array of each, and binary-searches every suffix of the
     evaluation texts in it. The evaluation texts are the stated query set: they are read in blocks of bounded size, each
     sent to all tasks, so their number has no limit. Null and empty texts, and items shorter than ``width``, match nothing;
-    copies of documents or items each have their own matches. Both keys must be unique; if they have one
-    name, the item's column is called ``item_`` and that name.
+    copies of documents or items under other keys each have their own matches, rows repeated exactly
+    count once, rows without key not at all. If the keys have one name, the item's column is called ``item_`` and that name.
     """
     corpus = words_of(spark, docs, key, text)
     named = item if item != key else f"item_{item}"

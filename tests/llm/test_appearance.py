@@ -48,6 +48,13 @@ def test_random_texts_equal_the_brute_force_form(spark, texts):
     assert forms(spark, texts) == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_repeated_rows_count_once_and_rows_without_key_not(spark):
+    rows = [(1, "caf\u00e9 x")] * 3 + [(2, "plain")] * 2 + [(3, None)] * 2 + [(None, "x"), (None, "\u00e9"), (4, "cafe\u0301 x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in consistent_form(spark, df).collect()) == [(1, "caf\u00e9 x"), (2, "plain"), (3, None), (4, "caf\u00e9 x")]
+    assert [tuple(r) for r in lookalike_pairs(spark, df).collect()] == [(1, 4)]
+
+
 def pairs(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {(r.key_a, r.key_b) for r in lookalike_pairs(spark, df).collect()}

@@ -29,6 +29,12 @@ def test_repeated_and_hot_words(spark, tokenizer):
     check(spark, tokenizer, ["the the the the"] * 200 + ["other words here"] * 3)
 
 
+def test_repeated_rows_count_once_and_rows_without_key_not(spark, tokenizer):
+    rows = [(1, "two words", 0)] * 3 + [(2, None, 0)] * 2 + [(None, "x", 0), (None, None, 0)]
+    got = E.encode(spark.createDataFrame(rows, "doc_id long, text string, ids long")).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == [(1, tokenizer.encode("two words").ids), (2, [])]
+
+
 def test_empty_table(spark):
     assert encoded(spark, []) == {}
 
