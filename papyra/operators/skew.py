@@ -57,11 +57,12 @@ def key_statistics(df: DataFrame, keys: list[str], distinct: str, at: str, share
     )
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, share: float = HEAVY_SHARE, salts: int = SALTS, heavy: DataFrame | None = None) -> DataFrame:
-    """Left outer sort-merge join on ``keys`` whose heavy left keys are spread over ``salts`` tasks.
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, share: float = HEAVY_SHARE, salts: int = SALTS, heavy: DataFrame | None = None, strategy: str = "merge") -> DataFrame:
+    """Left outer join on ``keys`` whose heavy left keys are spread over ``salts`` tasks; both sides are shuffled, none broadcast.
 
     The right rows of heavy keys are repeated once per salt, all others once. Null keys match nothing and keep their left
     rows, as in SQL. ``right`` may hold several rows per key. ``heavy``: the heavy keys where they are known already.
+    ``strategy``: ``merge`` sorts both sides; ``shuffle_hash`` hashes the right one, which must then have few rows a key.
     """
     heavy = heavy_keys(left.select(*keys), keys, share) if heavy is None else heavy
     a = salted(left, keys, spread, heavy, salts)
@@ -73,4 +74,4 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread:
     b = right.join(F.broadcast(marks), on, "left")
     copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     b = b.withColumn("__salt", F.explode(copies)).drop("__heavy", *[f"__h_{k}" for k in keys])
-    return a.join(b.hint("merge"), [*keys, "__salt"], "left").drop("__salt")
+    return a.join(b.hint(strategy), [*keys, "__salt"], "left").drop("__salt")

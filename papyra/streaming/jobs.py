@@ -16,7 +16,7 @@ def ingest_stream(source: DataFrame, store: Store, table: str, key: str, checkpo
     """Starts a query that upserts a stream of records into a stored table and ends when all that is there is in.
 
     Each micro-batch is applied as a whole: it is written as a new version and swapped in. A batch that is run again after
-    a failure gives the same table, as upserts by key are idempotent; its number is kept with the table to skip it.
+    a failure gives the same table, as upserts by key are idempotent.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
