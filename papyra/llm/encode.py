@@ -80,7 +80,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     at = pre_tokens(docs, key, text, folder)
     words = Cut(docs.sparkSession, "words")(at.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     ids = encode_words(words.select("word"), folder)
-    joined = salted_left_join(at, ids, ["word"], F.col("__key"), heavy=heavy_keys(words, ["word"], counted="n")).select("__key", "pos", "ids")
+    joined = salted_left_join(at, ids, ["word"], F.col("__key"), heavy=heavy_keys(words, ["word"], counted="n"), strategy="shuffle_hash").select("__key", "pos", "ids")
     whole = joined.groupBy("__key").agg(F.flatten(F.transform(F.sort_array(F.collect_set(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     none = docs.where(F.col(key).isNotNull() & (F.col(text).isNull() | (F.col(text) == ""))).select(F.col(key).alias("__key")).distinct().withColumn("ids", F.array().cast("array<int>"))
     return whole.unionByName(none).withColumnRenamed("__key", key)
