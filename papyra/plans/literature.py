@@ -485,7 +485,7 @@ def best_evidence(v: Views) -> DataFrame:
     return v.participates
 
 
-@query("SELECT count(*) AS rows_considered, 0 AS dropped_unresolved, count(*) - count(DISTINCT (gene, pathway)) AS dropped_duplicate FROM membership")
+@query("SELECT count(*) AS rows_considered, CAST(0 AS BIGINT) AS dropped_unresolved, count(*) - count(DISTINCT (gene, pathway)) AS dropped_duplicate FROM membership")
 def evidence_accounting_participates(v: Views) -> DataFrame:
     return evidence_accounting(v.membership, ["gene", "pathway"])
 
@@ -566,7 +566,7 @@ def _section(df: DataFrame, section: str, key: str, label: str, limit: int) -> D
     from pyspark.sql.window import Window
 
     top = df.select(F.col(key).cast("string").alias("id"), F.col(label).cast("string").alias("label")).orderBy("id").limit(limit)
-    return top.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy("id")).alias("rank"), "id", "label")
+    return top.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy("id")).cast("long").alias("rank"), "id", "label")
 
 
 def _section_sql(section: str, body: str, limit: int) -> str:

@@ -364,7 +364,7 @@ def consume_stream(v: Views) -> DataFrame:
     source = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.d) if v.raw("events").inputFiles()[0].endswith("/events.parquet") else events.stream_of(v.spark, f"{v.d}/events.parquet", schema)
     job = events.hourly_counts(source).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/log").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out")).trigger(availableNow=True).start()
     job.awaitTermination()
-    return v.spark.read.parquet(f"{base}/out")
+    return v.spark.read.parquet(f"{base}/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS job, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 3", views=False)
@@ -436,7 +436,7 @@ def scalar_pack_text(v: Views) -> DataFrame:
 def scalar_pack_array(v: Views) -> DataFrame:
     c = F.col("categories")
     back = F.from_json(F.to_json(c), "array<string>")
-    return v.paper.where(F.size(c) > 0).select("id", F.size(back).alias("n"), F.try_element_at(back, F.lit(1)).alias("first"), F.exists(back, lambda x: F.coalesce(x.startswith("mesh:"), F.lit(False))).alias("any_mesh"))
+    return v.paper.where(F.size(c) > 0).select("id", F.size(back).cast("long").alias("n"), F.try_element_at(back, F.lit(1)).alias("first"), F.exists(back, lambda x: F.coalesce(x.startswith("mesh:"), F.lit(False))).alias("any_mesh"))
 
 
 @query("SELECT row_id, CASE evidence_code WHEN 'TAS' THEN 0 WHEN 'IEA' THEN 1 ELSE 99 END AS rank FROM participates_in", views=False)
