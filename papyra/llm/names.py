@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from papyra.llm.appearance import parts
-from papyra.operators.skew import salted_left_join
+from papyra.operators.skew import heavy_keys, salted_left_join
 from papyra.session import Cut, tasks
 
 # English short forms of given names, each line a name and its short forms.
@@ -48,8 +48,10 @@ for _full, _short in SHORT_FORMS.items():
     for _s in _short.split():
         FULL_OF_SHORT.setdefault(_s, []).append(_full)
 COLLECTIVE_OF = {s: w for w, short in COLLECTIVE.items() for s in [w, *short.split()]} | {"sg": "study group", "wg": "working group"}
-#: A token is a given name if it stands in the given name's place at least so often, as a share of all spellings and as a number, and more often than in the family name's. The share bounds the list that is broadcast: 1 / GIVEN_SHARE tokens.
-GIVEN_SHARE, GIVEN_LEAST = 3e-4, 3
+#: A token is a given name if it stands in the given name's place in at least so many spellings, however many there are, and more often than in the family name's.
+GIVEN_LEAST = 3
+#: Of two given names one error apart, the one that stands there less than this share as often as the other may be an error of it: errors of frequent names recur too.
+ERROR_SHARE = 0.02
 #: Log likelihoods of the channel: a form equal but for case, marks and order; a middle initial left out; an initial for a given name; a short form; one typing error.
 SAME, NO_MIDDLE, INITIAL, SHORT, TYPO = 0.0, math.log(0.3), math.log(0.1), math.log(0.1), math.log(0.02)
 
@@ -80,6 +82,14 @@ def initials(word: str, shouted: bool) -> bool:
     return len(word) == 1 or word.isupper() and (len(word) <= 3 and not shouted or len(word) == 2 and word.lower() not in FULL_OF_SHORT)
 
 
+def full_words(names: pd.Series) -> Iterator[tuple[str, str]]:
+    """(name, token) of every word of a name that isn't initials, each once, lower case."""
+    for name in names:
+        before, after = tokens(name)
+        shouted = all(w.isupper() for w in before + after)
+        yield from ((name, w) for w in dict.fromkeys(w.lower() for w in before + after if not initials(w, shouted)))
+
+
 def place_counts(names: pd.Series) -> Iterator[tuple[str, int, int]]:
     """(token, in the given name's place, in the family name's) of every name that shows its order."""
     for name in names:
@@ -97,7 +107,7 @@ def place_counts(names: pd.Series) -> Iterator[tuple[str, int, int]]:
             yield full[-1], 0, 1
 
 
-def signature(name: str, given_names: set[str]) -> tuple[str, str, str, str] | None:
+def signature(name: str, given_names: Collection[str]) -> tuple[str, str, str, str] | None:
     """(kind, family, given, middle) of a spelling; kind ``o`` for collective authors, whose family is their longest own word; None if it names nobody."""
     before, after = tokens(name)
     words = [w.lower() for w in before + after]
@@ -145,8 +155,9 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
     family and given name but for one letter (deletion keys), whose given name it abbreviates (same family, initial or
     short form) or which differ by a middle initial more or less, and is attached to the one with the highest posterior:
     log prior plus the log likelihood of the variation. A typing error or a middle initial is only believed towards the
-    more frequent form (ties: the smaller one), an error not between two known given names; of two conflicting middle
-    initials neither is a variant of the other. Attachments are followed to their end by pointer doubling.
+    more frequent form (ties: the smaller one), an error not between two known given names, unless one is so rare beside
+    the other (``ERROR_SHARE``) that it may be an error itself; of two conflicting middle initials neither is a variant of
+    the other. Attachments are followed to their end by pointer doubling.
 
     Only distinct spellings and signatures are joined, and a key brings together forms one letter apart, or the few
     initials of a family with its given names, so no group grows to all pairs. Nulls, empty names and ``et al.`` name
@@ -159,18 +170,29 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
         for pdf in batches:
             yield pd.DataFrame(list(place_counts(pdf["name"])), columns=["token", "g", "f"]).groupby("token", as_index=False).sum()
 
+    def list_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame(list(full_words(pdf["name"])), columns=["name", "token"])
+
     places = spelled.select("name").mapInPandas(count_places, "token string, g long, f long").groupBy("token").agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
-    least = max(GIVEN_LEAST, GIVEN_SHARE * spelled.count())
-    given_names = {r[0] for r in places.where((F.col("g") >= least) & (F.col("g") > F.col("f"))).select("token").collect()}
-    shared = spark.sparkContext.broadcast(given_names)
+    given_names = places.where((F.col("g") >= GIVEN_LEAST) & (F.col("g") > F.col("f"))).select("token", "g")
+
+    # every spelling gets those of its words that are given names, and how often they are
+    words = cut(spelled.select("name").mapInPandas(list_words, "name string, token string"))
+    known = salted_left_join(words, given_names, ["token"], F.col("name"), heavy=cut(heavy_keys(words, ["token"]))).where("g is not null")
+    known = known.repartition(tasks(spark), "name").groupBy("name").agg(F.collect_list(F.struct("token", "g")).alias("x")).select("name", F.col("x.token").alias("known"), F.col("x.g").alias("times"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [signature(x, shared.value) or (None, None, None, None) for x in pdf["name"]]
-            yield pd.concat([pdf, pd.DataFrame(got, columns=["kind", "family", "given", "middle"], index=pdf.index)], axis=1)
+            out = []
+            for name, n, words, times in pdf[["name", "n", "known", "times"]].itertuples(index=False, name=None):
+                counts = {} if words is None else dict(zip(words, times))
+                kind, family, given, middle = signature(name, counts) or (None, None, None, None)
+                out.append((name, n, kind, family, given, middle, counts.get(given, 0)))
+            yield pd.DataFrame(out, columns=["name", "n", "kind", "family", "given", "middle", "named"])
 
-    signed = cut(spelled.repartition(tasks(spark), "name").mapInPandas(sign, "name string, n long, kind string, family string, given string, middle string"))
-    forms = cut(signed.where("kind is not null").groupBy("kind", "family", "given", "middle").agg(F.sum("n").alias("n")).withColumn("id", F.concat_ws("|", "kind", "family", "given", "middle")))
+    signed = cut(spelled.repartition(tasks(spark), "name").join(known.hint("merge"), "name", "left").mapInPandas(sign, "name string, n long, kind string, family string, given string, middle string, named long"))
+    forms = cut(signed.where("kind is not null").groupBy("kind", "family", "given", "middle").agg(F.sum("n").alias("n"), F.max("named").alias("named")).withColumn("id", F.concat_ws("|", "kind", "family", "given", "middle")))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (key, ask, offer, how): what a form asks for and what it can be found by."""
@@ -183,8 +205,8 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
 
         for pdf in batches:
             out = []
-            for kind, family, given, middle, n, form in pdf[["kind", "family", "given", "middle", "n", "id"]].itertuples(index=False, name=None):
-                base = (form, n, middle, given if given in shared.value else "")
+            for kind, family, given, middle, n, named, form in pdf[["kind", "family", "given", "middle", "n", "named", "id"]].itertuples(index=False, name=None):
+                base = (form, n, middle, named)
                 short = kind == "p" and len(given) < 2
                 text = f"{kind}|{family}|{given}"
                 if short:
@@ -199,13 +221,14 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
                 out += ((key, *base, ask, TYPO) for key in one_less(text, text.index("|") + 1, len(text)) for ask in (True, False))
             yield pd.DataFrame(out, columns=columns)
 
-    found = forms.repartition(tasks(spark), "id").mapInPandas(keys, "key string, id string, n long, middle string, named string, ask boolean, how double").withColumn("key", F.xxhash64("key"))
+    found = forms.repartition(tasks(spark), "id").mapInPandas(keys, "key string, id string, n long, middle string, named long, ask boolean, how double").withColumn("key", F.xxhash64("key"))
     asks = found.where("ask").select("key", "id", "n", "middle", "named", "how")
     offers = found.where("not ask").select("key", F.col("id").alias("to"), F.col("n").alias("to_n"), F.col("middle").alias("to_middle"), F.col("named").alias("to_named"), F.col("how").alias("to_how"))
     met = asks.join(offers.hint("merge"), "key").where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '')")
     same_name = F.expr("substring_index(id, '|', 3) = substring_index(to, '|', 3)")
     above = F.expr("to_n > n or (to_n = n and to < id)")
-    fits = F.when(same_name, above).when(F.col("how") == TYPO, above & ((F.col("named") == "") | (F.col("to_named") == "") | (F.col("named") == F.col("to_named")))).otherwise(True)
+    same_given = F.expr("substring_index(substring_index(id, '|', 3), '|', -1) = substring_index(substring_index(to, '|', 3), '|', -1)")
+    fits = F.when(same_name, above).when(F.col("how") == TYPO, above & (same_given | (F.least("named", "to_named") <= F.greatest("named", "to_named") * ERROR_SHARE))).otherwise(True)
     cost = F.when(same_name, F.lit(NO_MIDDLE)).otherwise(F.col("how") + F.when(F.col("middle") != F.col("to_middle"), NO_MIDDLE).otherwise(SAME))
     best = cut(met.where(fits).groupBy("id").agg(F.max(F.struct((F.log("to_n") + cost).alias("score"), "to_n", "to")).alias("x")).select("id", F.col("x.to").alias("p")))
 
