@@ -56,12 +56,13 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
 
 
-def tile_pairs(q: np.ndarray, h: np.ndarray, k: int, least: float | None, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tile_pairs(q: np.ndarray, h: np.ndarray, k: int, least: float | None, same: bool, both: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers in ``q`` and ``h`` and cosines of pairs that may be among the ``k`` nearest of the row of ``q``.
 
     Products of int8 codes (exact: sums below 2^24 in a float32 product) give every cosine up to a bound: with codes x', y'
     that miss x and y by r and s, |xy - x'y'| <= s + r (1 + s). Pairs whose upper bound reaches neither ``least`` nor the
     k-th best lower bound of their row are out; the rest is computed in float64. ``same``: q is h, leave out the diagonal.
+    ``both``: pairs that may be among the ``k`` nearest of the row of ``h`` stay too.
     """
     (cq, sq, rq), (ch, sh, rh) = quantised(q), quantised(h)
     near = (cq.astype(np.float32) @ ch.astype(np.float32).T) * (sq[:, None] * sh[None, :]).astype(np.float32)
@@ -71,7 +72,11 @@ def tile_pairs(q: np.ndarray, h: np.ndarray, k: int, least: float | None, same:
     floor = np.full((len(q), 1), -3, np.float32) if least is None else (np.float32(least) - slack)
     if least is None and near.shape[1] > k:
         floor = np.maximum(floor, np.partition(near, -k, axis=1)[:, -k][:, None] - 2 * slack)
-    i, j = np.nonzero(near >= floor)
+    keep = near >= floor
+    if both and least is None:
+        slack = (rq.max() + rh * (1 + rq.max()) + 1e-6).astype(np.float32)[None, :]
+        keep |= near >= (np.partition(near, -k, axis=0)[-k] - 2 * slack if near.shape[0] > k else -3)
+    i, j = np.nonzero(keep)
     s = np.einsum("ij,ij->i", q[i], h[j])
     if least is not None:
         i, j, s = i[s >= least], j[s >= least], s[s >= least]
@@ -152,13 +157,13 @@ def nearest_vectors(spark: SparkSession, rows: DataFrame, key: str, vector: str,
 
         tile, keys, parts, h, hk = None, [], [], None, None
 
-        def close():  # the residents of a tile are complete: they meet each other
+        def close():  # the residents of a tile are complete: they meet each other, two chunks once for both
             nonlocal h, hk
             h, hk = unit(np.concatenate(parts)), pa.concat_arrays(keys)
             for lo in range(0, len(h), TILE):
                 yield out(hk[lo : lo + TILE], hk[lo : lo + TILE], tile_pairs(h[lo : lo + TILE], h[lo : lo + TILE], k, least, True))
                 for lo2 in range(lo + TILE, len(h), TILE):
-                    yield out(hk[lo : lo + TILE], hk[lo2 : lo2 + TILE], tile_pairs(h[lo : lo + TILE], h[lo2 : lo2 + TILE], k, least, False))
+                    yield out(hk[lo : lo + TILE], hk[lo2 : lo2 + TILE], tile_pairs(h[lo : lo + TILE], h[lo2 : lo2 + TILE], k, least, False, both=True))
 
         for b in batches:
             tiles, guests = b["tile"].to_numpy(zero_copy_only=False), b["guest"].to_numpy(zero_copy_only=False)
