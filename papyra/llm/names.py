@@ -108,7 +108,7 @@ def place_counts(names: pd.Series) -> Iterator[tuple[str, int, int]]:
 
 
 def signature(name: str, given_names: Collection[str]) -> tuple[str, str, str, str] | None:
-    """(kind, family, given, middle) of a spelling; kind ``o`` for collective authors, whose family is their longest own word; None if it names nobody."""
+    """(kind, family, given, middle) of a spelling, middle being all middle names and initials in order; kind ``o`` for collective authors, whose family is their longest own word; None if it names nobody."""
     before, after = tokens(name)
     words = [w.lower() for w in before + after]
     if not words or words == ["et", "al"]:
@@ -125,20 +125,38 @@ def signature(name: str, given_names: Collection[str]) -> tuple[str, str, str, s
     def split(ws: list[str]) -> tuple[list[str], list[str]]:
         return [w.lower() for w in ws if not initials(w, shouted)], [c for w in ws if initials(w, shouted) for c in w.lower()]
 
+    def in_order(ws: list[str]) -> list[str]:
+        return [c for w in ws for c in (w.lower() if initials(w, shouted) else [w.lower()])]
+
     full, letters = split(before)
     if after:
         family, (given, more) = full or letters, split(after)
-        first, middle = (given[0], [g[0] for g in given[1:]] + more + (letters if full else [])) if given else ((more + letters or [""])[0], (more + letters)[1:])
+        first, middle = (given[0], (letters if full else [])) if given else ((more + letters or [""])[0], (more + letters)[1:])
+        if given:
+            inner = in_order(after)
+            inner.remove(first)
+            middle = inner + middle
     elif len(full) < 2:
         family, first, middle = full or letters[-1:], (letters or [""])[0], letters[1:]
     else:
         back = known(full[-1]) and not known(full[0])
         first, rest = (full[-1], full[:-1]) if back else (full[0], full[1:])
         names = [w for w in rest[:-1] if known(w)] if not back else []
-        family, middle = [w for w in rest if w not in names], [w[0] for w in names] + letters
+        inner = in_order(before)
+        inner.remove(first)
+        family, middle = [w for w in rest if w not in names], [w for w in inner if len(w) == 1 or w in names]
         if letters and not initials(before[0], shouted) and before[0].lower() == full[0] and len(rest) == 0:
             family = rest
-    return "p", "".join(family), first, "".join(middle)[:1]
+    return "p", "".join(family), first, " ".join(middle)
+
+
+#: Of two lists of middle names, in SQL: whether no two at one place conflict (equal, initial and name, or an error apart if one is no known given name); whether some are an error apart; whether the first abbreviates the second.
+_MIDDLES = "zip_with(split(middle, ' '), split(to_middle, ' '), (x, y) -> {})"
+_ERROR = "length(x) > 1 and length(y) > 1 and x != y"
+_NEAR = "(levenshtein(x, y) <= 1 or levenshtein(x, y) = 2 and array_sort(split(x, '')) = array_sort(split(y, '')))"
+FIT = f"forall({_MIDDLES.format(f"x is null or y is null or x = y or x = left(y, 1) or y = left(x, 1) or (odd or to_odd) and {_ERROR} and {_NEAR}")}, z -> z)"
+ERROR = f"exists({_MIDDLES.format(f"x is not null and y is not null and {_ERROR}")}, z -> z)"
+SHORTER = f"forall({_MIDDLES.format("x is null or y is not null and (x = y or x = left(y, 1))")}, z -> z)"
 
 
 def one_less(text: str, lo: int, hi: int) -> set[str]:
@@ -156,8 +174,8 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
     short form) or which differ by a middle initial more or less, and is attached to the one with the highest posterior:
     log prior plus the log likelihood of the variation. A typing error or a middle initial is only believed towards the
     more frequent form (ties: the smaller one), an error not between two known given names, unless one is so rare beside
-    the other (``ERROR_SHARE``) that it may be an error itself; of two conflicting middle initials neither is a variant of
-    the other. Attachments are followed to their end by pointer doubling.
+    the other (``ERROR_SHARE``) that it may be an error itself. Middle names are compared place by place: with an initial for
+    a name, or fewer of them, a form is a variant of the fuller one; of two with conflicting ones neither is. Attachments are followed to their end by pointer doubling.
 
     Only distinct spellings and signatures are joined, and a key brings together forms one letter apart, or the few
     initials of a family with its given names, so no group grows to all pairs. Nulls, empty names and ``et al.`` name
@@ -188,15 +206,15 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
             for name, n, words, times in pdf[["name", "n", "known", "times"]].itertuples(index=False, name=None):
                 counts = {} if words is None else dict(zip(words, times))
                 kind, family, given, middle = signature(name, counts) or (None, None, None, None)
-                out.append((name, n, kind, family, given, middle, counts.get(given, 0)))
-            yield pd.DataFrame(out, columns=["name", "n", "kind", "family", "given", "middle", "named"])
+                out.append((name, n, kind, family, given, middle, counts.get(given, 0), any(len(w) > 1 and w not in counts for w in (middle or "").split())))
+            yield pd.DataFrame(out, columns=["name", "n", "kind", "family", "given", "middle", "named", "odd"])
 
-    signed = cut(spelled.repartition(tasks(spark), "name").join(known.hint("merge"), "name", "left").mapInPandas(sign, "name string, n long, kind string, family string, given string, middle string, named long"))
-    forms = cut(signed.where("kind is not null").groupBy("kind", "family", "given", "middle").agg(F.sum("n").alias("n"), F.max("named").alias("named")).withColumn("id", F.concat_ws("|", "kind", "family", "given", "middle")))
+    signed = cut(spelled.repartition(tasks(spark), "name").join(known.hint("merge"), "name", "left").mapInPandas(sign, "name string, n long, kind string, family string, given string, middle string, named long, odd boolean"))
+    forms = cut(signed.where("kind is not null").groupBy("kind", "family", "given", "middle").agg(F.sum("n").alias("n"), F.max("named").alias("named"), F.max("odd").alias("odd")).withColumn("id", F.concat_ws("|", "kind", "family", "given", "middle")))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (key, ask, offer, how): what a form asks for and what it can be found by."""
-        columns = ["key", "id", "n", "middle", "named", "ask", "how"]
+        columns = ["key", "id", "n", "middle", "named", "odd", "ask", "how"]
 
         def near(text: str, how: float) -> list[tuple[str, float]]:
             """The text itself, and its family name with an error besides."""
@@ -205,8 +223,8 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
 
         for pdf in batches:
             out = []
-            for kind, family, given, middle, n, named, form in pdf[["kind", "family", "given", "middle", "n", "named", "id"]].itertuples(index=False, name=None):
-                base = (form, n, middle, named)
+            for kind, family, given, middle, n, named, odd, form in pdf[["kind", "family", "given", "middle", "n", "named", "odd", "id"]].itertuples(index=False, name=None):
+                base = (form, n, middle, named, odd)
                 short = kind == "p" and len(given) < 2
                 text = f"{kind}|{family}|{given}"
                 if short:
@@ -221,15 +239,17 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
                 out += ((key, *base, ask, TYPO) for key in one_less(text, text.index("|") + 1, len(text)) for ask in (True, False))
             yield pd.DataFrame(out, columns=columns)
 
-    found = forms.repartition(tasks(spark), "id").mapInPandas(keys, "key string, id string, n long, middle string, named long, ask boolean, how double").withColumn("key", F.xxhash64("key"))
-    asks = found.where("ask").select("key", "id", "n", "middle", "named", "how")
-    offers = found.where("not ask").select("key", F.col("id").alias("to"), F.col("n").alias("to_n"), F.col("middle").alias("to_middle"), F.col("named").alias("to_named"), F.col("how").alias("to_how"))
-    met = asks.join(offers.hint("merge"), "key").where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '')")
+    found = forms.repartition(tasks(spark), "id").mapInPandas(keys, "key string, id string, n long, middle string, named long, odd boolean, ask boolean, how double").withColumn("key", F.xxhash64("key"))
+    asks = found.where("ask").select("key", "id", "n", "middle", "named", "odd", "how")
+    offers = found.where("not ask").select("key", F.col("id").alias("to"), F.col("n").alias("to_n"), F.col("middle").alias("to_middle"), F.col("named").alias("to_named"), F.col("odd").alias("to_odd"), F.col("how").alias("to_how"))
+    met = asks.join(offers.hint("merge"), "key").where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '' or " + FIT + ")")
     same_name = F.expr("substring_index(id, '|', 3) = substring_index(to, '|', 3)")
     above = F.expr("to_n > n or (to_n = n and to < id)")
     same_given = F.expr("substring_index(substring_index(id, '|', 3), '|', -1) = substring_index(substring_index(to, '|', 3), '|', -1)")
-    fits = F.when(same_name, above).when(F.col("how") == TYPO, above & (same_given | (F.least("named", "to_named") <= F.greatest("named", "to_named") * ERROR_SHARE))).otherwise(True)
-    cost = F.when(same_name, F.lit(NO_MIDDLE)).otherwise(F.col("how") + F.when(F.col("middle") != F.col("to_middle"), NO_MIDDLE).otherwise(SAME))
+    one_empty = F.expr("middle = '' or to_middle = ''")
+    fits = F.when(same_name & (one_empty | F.expr(ERROR)), above).when(same_name, F.expr(SHORTER)).when(F.col("how") == TYPO, above & (same_given | (F.least("named", "to_named") <= F.greatest("named", "to_named") * ERROR_SHARE))).otherwise(True)
+    middle_cost = F.when(F.col("middle") == F.col("to_middle"), SAME).when(one_empty | ~F.expr(ERROR), NO_MIDDLE).otherwise(TYPO)
+    cost = F.when(same_name, middle_cost).otherwise(F.col("how") + middle_cost)
     best = cut(met.where(fits).groupBy("id").agg(F.max(F.struct((F.log("to_n") + cost).alias("score"), "to_n", "to")).alias("x")).select("id", F.col("x.to").alias("p")))
 
     # follow attachments: roots point at themselves; on a ring of attachments all take its smallest form
