@@ -48,14 +48,10 @@ def author_name(*words: Column) -> Column:
     return given(F.concat_ws(" ", *[given(F.trim(w)) for w in words]))
 
 
-def first_line(c: Column) -> Column:
-    return F.substring_index(c, "\n", 1)
-
-
 def snippet(c: Column, most: int = 400) -> Column:
     """At most ``most`` characters, cut at the last space and closed with an ellipsis if anything was left out."""
     cut = F.substring(c, 1, most)
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(cut, r"(?s)\s[^\s]*\z", ""), F.lit("…")))
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(cut, r"[ \t\n\x0B\f\r][^ \t\n\x0B\f\r]*\z", ""), F.lit("…")))
 
 
 def clip(c: Column, most: int = 45) -> Column:

@@ -38,5 +38,5 @@ def disease_xrefs(terms: DataFrame) -> DataFrame:
     """
     live = terms.where("not is_obsolete and name is not null and name != ''")
     refs = live.select("id", "name", F.explode("xrefs").alias("x")).where(F.col("x").startswith("MESH:"))
-    best = refs.groupBy(F.concat(F.lit("mesh:"), F.substring("x", 6, 1000)).alias("mesh")).agg(F.min(F.struct("id", "name")).alias("m"))
+    best = refs.groupBy(F.concat(F.lit("mesh:"), F.substr("x", F.lit(6))).alias("mesh")).agg(F.min(F.struct("id", "name")).alias("m"))
     return best.select("mesh", F.col("m.id").alias("doid"), F.col("m.name").alias("name"))

@@ -17,6 +17,7 @@ from papyra.operators.dedupe import one_per_key
 class CreateMissing(Enum):
     """Which end points of an edge may be created by it."""
 
+    # Fixed values.
     NONE = "none"
     SRC = "src"
     DST = "dst"
@@ -43,8 +44,9 @@ def written_props(declared: list[str], incoming: DataFrame) -> list[str]:
 
 
 def last_wins(incoming: DataFrame, key: list[str], position: str | None) -> DataFrame:
-    """One row per key; without a position the rows of a key must not differ."""
-    return incoming.dropDuplicates(key) if position is None else one_per_key(incoming, key, F.col(position).desc()).drop(position)
+    """One row per key, the last by ``position``; without one the last in the order of the rows' partitions."""
+    rows = incoming.withColumn("__at", F.monotonically_increasing_id()) if position is None else incoming.withColumnRenamed(position, "__at")
+    return one_per_key(rows, key, F.col("__at").desc()).drop("__at")
 
 
 def upsert_nodes(existing: DataFrame, incoming: DataFrame, key: str, update: bool, declared: list[str] | None = None, position: str | None = None) -> NodeUpsert:
@@ -168,7 +170,7 @@ def apply_enrichment(papers: DataFrame, results: DataFrame, stubs: DataFrame) ->
 
 def set_embeddings(papers: DataFrame, vectors: DataFrame) -> DataFrame:
     """Papers with ``embedding`` and ``embedded_at`` replaced where ``vectors(id, embedding, embedded_at)`` has their id; nothing else changes."""
-    new = vectors.dropDuplicates(["id"]).select("id", F.col("embedding").alias("__e"), F.col("embedded_at").alias("__t"), F.lit(True).alias("__in"))
+    new = last_wins(vectors, ["id"], None).select("id", F.col("embedding").alias("__e"), F.col("embedded_at").alias("__t"), F.lit(True).alias("__in"))
     both = papers.join(new, "id", "left")
     return both.withColumn("embedding", F.when(F.col("__in"), F.col("__e")).otherwise(F.col("embedding"))).withColumn("embedded_at", F.when(F.col("__in"), F.col("__t")).otherwise(F.col("embedded_at"))).drop("__e", "__t", "__in")
 

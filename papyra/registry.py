@@ -141,8 +141,9 @@ class Registry:
 
 S, TS = PropType.STRING, PropType.DATETIME
 DEFAULT = Registry()
+# The names of types, keys and properties.
 DEFAULT.register(
-    NodeType("Paper", "id", (Prop("arxiv_id", S, True), Prop("pmid", S, True), Prop("s2_paper_id", S, True), Prop("title"), Prop("abstract"), Prop("enriched_at", TS, True), Prop("is_stub", PropType.BOOLEAN, True), Prop("categories", PropType.ARRAY_OF_STRINGS), Prop("primary_category"), Prop("published_date", PropType.DATE), Prop("source"), Prop("citation_count", PropType.LONG), Prop("reference_count", PropType.LONG), Prop("embedded_at", TS)), ("title", "abstract"), "embedding"),
+    NodeType("Paper", "id", (Prop("arxiv_id", S, True), Prop("pmid", S, True), Prop("s2_paper_id", S, True), Prop("title"), Prop("abstract"), Prop("enriched_at", TS, True), Prop("is_stub", PropType.BOOLEAN, True), Prop("categories", PropType.ARRAY_OF_STRINGS), Prop("primary_category"), Prop("published_date", PropType.DATE), Prop("updated_date", PropType.DATE), Prop("doi"), Prop("journal_ref"), Prop("comments"), Prop("source"), Prop("fetched_at", TS), Prop("citation_count", PropType.LONG), Prop("reference_count", PropType.LONG), Prop("embedded_at", TS)), ("title", "abstract"), "embedding"),
     NodeType("Category", "code", (Prop("vocabulary"), Prop("name"), Prop("paper_count", PropType.LONG))),
     NodeType("Author", "name"),
     NodeType("GraphStats", "id"),

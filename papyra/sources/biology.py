@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from papyra.functions import text
 from papyra.operators.crosswalk import compound_crosswalk
 from papyra.operators.dedupe import best_evidence, evidence_accounting, one_per_key
+from papyra.sources.papers import delivery
 
 
 def stanzas(spark: SparkSession, path: str) -> DataFrame:
@@ -18,7 +19,7 @@ def stanzas(spark: SparkSession, path: str) -> DataFrame:
 
 def _values(tag: str) -> Column:
     """All values of a tag, in order."""
-    return F.transform(F.filter("lines", lambda x: x.startswith(f"{tag}: ")), lambda x: F.trim(F.substring(x, len(tag) + 3, 1_000_000)))
+    return F.transform(F.filter("lines", lambda x: x.startswith(f"{tag}: ")), lambda x: F.trim(F.substr(x, F.lit(len(tag) + 3))))
 
 
 def _last(tag: str) -> Column:
@@ -43,11 +44,13 @@ def ontology_version(spark: SparkSession, path: str) -> str | None:
 
 
 def tsv(spark: SparkSession, path: str, columns: list[str], skip_header: bool = False) -> DataFrame:
-    """A tab-separated file without quoting, as strings and ``pos``, which grows in file order; rows of another width are dropped."""
+    """Tab-separated files without quoting, as strings and ``pos``, which grows in file order (files by name); rows of another width are dropped, and with ``skip_header`` the first row of every file."""
     parts = F.split("value", "\t", -1)
-    rows = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value"), F.monotonically_increasing_id().alias("pos"))
-    rows = rows.where(F.size(parts) == len(columns)).select("pos", *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    return rows.where("pos > 0") if skip_header else rows
+    rows = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("value"), delivery())
+    if skip_header:
+        first = rows.groupBy(F.col("delivered.file_path").alias("file")).agg(F.min("delivered").alias("first"))
+        rows = rows.join(F.broadcast(first), F.col("delivered") == F.col("first"), "left_anti")  # one row a file
+    return rows.where(F.size(parts) == len(columns)).select(F.col("delivered").alias("pos"), *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def headed_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -112,7 +115,7 @@ def curated_mappings(spark: SparkSession, path: str) -> DataFrame:
     pairs = lines.where(~F.col("value").startswith("subject_id")).select(a.alias("a"), b.alias("b"))
     swap = F.col("a").startswith("mesh:")
     both = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("c"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("m"))
-    return both.where(F.col("c").startswith("chebi:") & F.col("m").startswith("mesh:")).select(F.upper("c").alias("accession"), F.upper(F.substring("m", 6, 100)).alias("ui")).distinct()
+    return both.where(F.col("c").startswith("chebi:") & F.col("m").startswith("mesh:")).select(F.upper("c").alias("accession"), F.upper(F.substr("m", F.lit(6))).alias("ui")).distinct()
 
 
 def compound_crosswalk_from_files(spark: SparkSession, compounds: str, accessions: str, headings: list[str], mappings: str) -> DataFrame:
@@ -130,7 +133,10 @@ ANNOTATIONS = "documents array<struct<pmid:string,passages:array<struct<annotati
 
 
 def annotation_mentions(spark: SparkSession, path: str) -> DataFrame:
-    """``pmid, vertex_type, entity_id, name`` of annotation files: see ``normalise_annotations``."""
+    """``pmid, vertex_type, entity_id, name`` of annotation files: see ``normalise_annotations``.
+
+    A file is one JSON object over several lines, so one task reads it whole: deliver large sets as many files.
+    """
     docs = spark.read.schema(ANNOTATIONS).option("multiLine", True).json(path).select(F.explode("documents").alias("d"))
     flat = docs.select(F.col("d.pmid").alias("pmid"), F.posexplode(F.flatten(F.transform("d.passages", lambda p: F.coalesce(p["annotations"], F.array())))).alias("pos", "a"))
     return normalise_annotations(flat.select("pmid", "pos", "a.infons.*", "a.text"), "pmid", "pos").withColumnRenamed("doc", "pmid")

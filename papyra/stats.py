@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from papyra.functions.text import source_family
 from papyra.operators.dedupe import one_per_key
 from papyra.operators.upsert import fold_stats, upsert_nodes
 from papyra.registry import DEFAULT
 from papyra.store import Store
 from papyra.streaming.jobs import changed_releases
 
-SUMS = ["papers", "enriched", "embedded", "stubs", "authors", "categories"]
+SUMS = ["papers", "enriched", "embedded", "stubs", "authors", "categories", "authored_edges", "category_edges", "citation_edges"]
 COUNTERS = ", ".join(f"{c} long" for c in SUMS) + ", earliest date, latest date"
 # Types in the order in which hints show them.
 HINT_ORDER = ("Disease", "Gene", "Pathway", "Compound", "Organism")
@@ -28,15 +29,15 @@ def edge(store: Store, name: str) -> DataFrame:
 
 
 def measure(store: Store) -> DataFrame:
-    """One row of counters from the tables; enriched are those with a citation count, found or not are no matter."""
-    full = F.coalesce(~F.col("is_stub"), F.lit(True))
-    p = node(store, "Paper").agg(
-        F.count_if(full).alias("papers"), F.count_if(full & F.col("citation_count").isNotNull()).alias("enriched"), F.count_if(full & F.col("embedding").isNotNull()).alias("embedded"), F.count_if(~full).alias("stubs"),
-        F.min(F.when(full, F.col("published_date"))).alias("earliest"), F.max(F.when(full, F.col("published_date"))).alias("latest"),
+    """One row of counters from the tables, in one aggregate over all of them; enriched are those with a citation count, found or not are no matter."""
+    full, one = F.coalesce(~F.col("is_stub"), F.lit(True)), lambda c: c.cast("long")
+    dated = F.when(full, F.col("published_date"))
+    rows = node(store, "Paper").select(
+        one(full).alias("papers"), one(full & F.col("citation_count").isNotNull()).alias("enriched"), one(full & F.col("embedding").isNotNull()).alias("embedded"), one(~full).alias("stubs"), dated.alias("earliest"), dated.alias("latest"),
     )
-    for name, column in (("Author", "authors"), ("Category", "categories")):
-        p = p.join(node(store, name).agg(F.count(F.lit(1)).alias(column)), F.lit(True))
-    return p.select(*SUMS, "earliest", "latest")
+    for table, column in ((node(store, "Author"), "authors"), (node(store, "Category"), "categories"), (edge(store, "AUTHORED"), "authored_edges"), (edge(store, "IN_CATEGORY"), "category_edges"), (edge(store, "CITES"), "citation_edges")):
+        rows = rows.unionByName(table.select(F.lit(1).cast("long").alias(column)), allowMissingColumns=True)
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS], F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
 
 
 def endpoints(store: Store) -> dict[str, list[tuple[str, str]]]:
@@ -78,8 +79,10 @@ def rebuild(store: Store) -> DataFrame:
 
 
 def counters(store: Store) -> DataFrame:
-    """The stored row, made on first use."""
-    return store.read("GraphStats") if store.current("GraphStats") else rebuild(store)
+    """The stored row; on first use the counters are measured, and what is cached beside them is null until ``rebuild`` or ``refresh_cache``."""
+    if not store.current("GraphStats"):
+        store.write("GraphStats", measure(store).join(store.spark.createDataFrame([(None, None)], CACHED), F.lit(True)))
+    return store.read("GraphStats")
 
 
 def apply_delta(store: Store, delta: DataFrame) -> DataFrame:
@@ -90,6 +93,36 @@ def apply_delta(store: Store, delta: DataFrame) -> DataFrame:
     return store.read("GraphStats")
 
 
+def raise_counters(store: Store, **by) -> None:
+    """``apply_delta`` by the numbers given; the others stay. Counters must have been there before the change, see ``counters``."""
+    names = [*SUMS, "earliest", "latest"]
+    row = tuple(by.get(n) for n in names)
+    apply_delta(store, store.spark.createDataFrame([row], COUNTERS)).count()
+
+
+def refresh_cache(store: Store) -> DataFrame:
+    """Measures only the cached end points and hints anew; counters stay."""
+    old = counters(store)
+    cached = store.spark.createDataFrame([({k: v for k, v in endpoints(store).items()}, hints(store))], CACHED)
+    store.write("GraphStats", old.drop("endpoints", "hints").join(cached, F.lit(True)))
+    return store.read("GraphStats")
+
+
+def overview(store: Store, by_source: bool = False) -> DataFrame:
+    """``what, value``: the counters, the shares enriched and embedded, and the most common category, all from stored rows; ``by_source`` adds a count per source family, which scans the papers."""
+    share = lambda c: F.concat(F.format_number(F.col(c), 0), F.when(F.col("papers") > 0, F.concat(F.lit(" ("), F.round(F.col(c) * 100 / F.col("papers")).cast("int"), F.lit("%)"))).otherwise(""))
+    plain = [(c, F.format_number(F.col(c), 0)) for c in SUMS if c not in ("enriched", "embedded")] + [("enriched", share("enriched")), ("embedded", share("embedded"))]
+    lines = [F.struct(F.lit(n).alias("what"), v.alias("value")) for n, v in plain]
+    lines += [F.struct(F.lit(n).alias("what"), F.col(n).cast("string").alias("value")) for n in ("earliest", "latest")]
+    out = counters(store).select(F.explode(F.array(*lines)).alias("x")).select("x.*")
+    top = node(store, "Category").where("paper_count is not null").orderBy(F.desc("paper_count"), "code").limit(1)
+    out = out.unionByName(top.select(F.lit("top category").alias("what"), F.concat("code", F.lit(" ("), F.col("paper_count"), F.lit(")")).alias("value")))
+    if by_source:
+        full = node(store, "Paper").where("not is_stub").groupBy(source_family(F.col("source")).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count("enriched_at").alias("e"))
+        out = out.unionByName(full.select(F.concat(F.lit("source "), F.coalesce("s", F.lit("-"))).alias("what"), F.concat(F.format_number("n", 0), F.lit(", "), F.format_number("e", 0), F.lit(" enriched")).alias("value")))
+    return out
+
+
 def placeholder(found: list[str], empty: str = "Search") -> str:
     return "e.g. " + ", ".join(found) if found else empty
 

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from papyra.operators.upsert import last_wins, upsert_nodes
+from papyra.operators.upsert import upsert_nodes
 from papyra.store import Store
 
 
@@ -70,6 +70,16 @@ def backward_job(windows: Iterator[tuple[date, date, int]], run: Callable[[date,
     return total
 
 
+def until(windows: Iterator[tuple[date, date, int]], limit: int | None) -> Iterator[tuple[date, date, int]]:
+    """The windows up to the one in which ``limit`` records are reached, which is taken whole."""
+    left = limit
+    for w in windows:
+        if left is not None and left <= 0:
+            return
+        yield w
+        left = None if left is None else left - w[2]
+
+
 def candidates(papers: DataFrame, checked: DataFrame, extractor: str, requires: str | None = None) -> DataFrame:
     """Papers that an extractor has not seen and that have what it requires."""
     seen = checked.where(F.col("extractor") == extractor).select(F.col("paper_id").alias("id"))
@@ -77,28 +87,55 @@ def candidates(papers: DataFrame, checked: DataFrame, extractor: str, requires:
     return todo.join(seen, "id", "left_anti")
 
 
-def check_marks(papers: DataFrame, extractor: str) -> DataFrame:
-    """The marks that every candidate gets, whether the extractor yielded it or not."""
+def check_marks(papers: DataFrame, extractor: str, failed: DataFrame | None = None) -> DataFrame:
+    """The marks that every candidate gets, whether the extractor yielded it or not, except those ``failed`` on (``paper_id``), which stay to be tried again."""
+    papers = papers if failed is None else papers.join(failed.select(F.col("paper_id").alias("id")), "id", "left_anti")
     return papers.select(F.concat(F.lit(f"{extractor}:"), "id").alias("check_id"), F.lit(extractor).alias("extractor"), F.col("id").alias("paper_id"))
 
 
-def extract(papers: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Runs a user's table function over batches of papers: ``paper_id, vertex_type, entity_id, name, pos``. A batch that fails yields nothing; rows of papers outside the candidates are ignored."""
+def attempts(papers: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Runs a user's table function over batches of papers: ``paper_id, vertex_type, entity_id, name, pos, error``.
+
+    A batch that fails is tried again paper by paper; a paper that fails alone has one row with its ``error``, which is null
+    in all others. Rows of papers outside the candidates are ignored. Write the result before ``found`` and ``failures``
+    are both taken from it, so that the function runs once.
+    """
+    columns = ["paper_id", "vertex_type", "entity_id", "name", "pos", "error"]
+
+    def attempt(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            got = function(pdf)
+            got = got[got["paper_id"].isin(pdf["id"])].reset_index(drop=True)
+            return got.assign(pos=range(len(got)), error=None)[columns]
+        except Exception as e:
+            if len(pdf) > 1:
+                return pd.concat([attempt(pdf.iloc[[i]]) for i in range(len(pdf))])
+            return pd.DataFrame([(pdf["id"].iloc[0], None, None, None, None, f"{type(e).__name__}: {e}")], columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            try:
-                got = function(pdf)
-            except Exception:
-                continue
-            got = got[got["paper_id"].isin(pdf["id"])].reset_index(drop=True)
-            yield got.assign(pos=range(len(got)))[["paper_id", "vertex_type", "entity_id", "name", "pos"]]
+            if len(pdf):
+                yield attempt(pdf)
+
+    return papers.mapInPandas(run, "paper_id string, vertex_type string, entity_id string, name string, pos long, error string")
 
-    return papers.mapInPandas(run, "paper_id string, vertex_type string, entity_id string, name string, pos long")
+
+def found(extracted: DataFrame) -> DataFrame:
+    return extracted.where("error is null").drop("error")
+
+
+def extract(papers: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """What the function finds, without the papers it fails on; see ``attempts``."""
+    return found(attempts(papers, function))
+
+
+def failures(extracted: DataFrame) -> DataFrame:
+    """``paper_id, error`` of the papers an extractor failed on; their number belongs into the run log."""
+    return extracted.where("error is not null").select("paper_id", "error")
 
 
 def drain(todo: Callable[[], DataFrame], work: Callable[[DataFrame], None], most_rounds: int = 1000) -> int:
-    """Repeats select and work until nothing is left to do; a round that changes nothing ends it too. Returns the rounds."""
+    """Repeats select and work until nothing is left to do; a round that changes nothing ends it too. Returns the rounds. More than ``most_rounds`` are a RuntimeError: work is left then."""
     left = None
     for n in range(most_rounds):
         rows = todo()
@@ -107,7 +144,9 @@ def drain(todo: Callable[[], DataFrame], work: Callable[[DataFrame], None], most
             return n
         left = now
         work(rows)
-    return most_rounds
+    if left is None or todo().isEmpty():
+        return most_rounds
+    raise RuntimeError(f"work is left after {most_rounds} rounds")
 
 
 def changed_releases(current: DataFrame, saved: DataFrame) -> DataFrame:
@@ -116,7 +155,10 @@ def changed_releases(current: DataFrame, saved: DataFrame) -> DataFrame:
     return both.where(~F.col("previous").eqNullSafe(F.col("version"))).select("source", "previous", "version")
 
 
-def set_checkpoint(store: Store, job: str, seen: date, at: str) -> None:
+def set_checkpoint(store: Store, job: str, seen: date, at: str, forward: bool = True) -> None:
+    """Stores a job's cursor; one that goes ``forward`` never moves back."""
+    before = get_checkpoint(store, job) if forward else None
+    seen = max(seen, before) if before else seen
     rows = store.spark.createDataFrame([(job, seen.isoformat(), at)], "job string, last_seen_date string, last_run_at string")
     store.write("ingest_state", upsert_nodes(store.read("ingest_state", rows.schema), rows, "job", True).state)
 
@@ -140,7 +182,3 @@ def read_runs(spark: SparkSession, path: str, job: str | None = None, last: int
     label = F.when(F.col("earliest").isNull(), "-").when(F.col("earliest") == F.col("latest"), F.col("earliest")).otherwise(F.concat_ws(" to ", "earliest", "latest"))
     rows = rows.withColumn("date_range", label)
     return rows if last is None else rows.orderBy(F.desc("started_at"), "job").limit(last).orderBy("started_at", "job")
-
-
-def deduplicated(batch: DataFrame, key: str, position: str | None = None) -> DataFrame:
-    return last_wins(batch, [key], position)

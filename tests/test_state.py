@@ -258,9 +258,9 @@ def test_counters_hints_and_endpoints(spark, tmp_path):
     assert (r.papers, r.enriched, r.embedded, r.stubs, r.authors, r.categories, r.earliest, r.latest) == (2, 1, 1, 1, 0, 2, D(2020, 1, 1), D(2021, 1, 1))
     assert r.hints == ["GEN2"] and stats.placeholder(r.hints) == "e.g. GEN2" and r.endpoints["MENTIONS"] == [("Paper", "Gene")] and r.endpoints["IS_A"] == []
     assert {(c.code, c.paper_count) for c in s.read("Category").collect()} == {("c", 2), ("d", 0)}
-    delta = spark.createDataFrame([(1, None, 1, -1, 0, 0, D(2019, 1, 1), None)], stats.COUNTERS)
+    delta = spark.createDataFrame([(1, None, 1, -1, 0, 0, 4, None, 2, D(2019, 1, 1), None)], stats.COUNTERS)
     r = stats.apply_delta(s, delta).first()
-    assert (r.papers, r.enriched, r.embedded, r.stubs, r.earliest, r.latest, r.hints) == (3, 1, 2, 0, D(2019, 1, 1), D(2021, 1, 1), ["GEN2"])
+    assert (r.papers, r.enriched, r.embedded, r.stubs, r.earliest, r.latest, r.hints) == (3, 1, 2, 0, D(2019, 1, 1), D(2021, 1, 1), ["GEN2"]) and (r.authored_edges, r.category_edges, r.citation_edges) == (4, 2, 2)
 
 
 def test_changed_sources_are_loaded_and_saved_after_the_load(spark, tmp_path):
