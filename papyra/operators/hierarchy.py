@@ -1,57 +1,69 @@
 """Parent-child links to full hierarchies: cycles, roots, depths, paths and descendants.
 
-All steps work on node tables with joins, and the number of rounds is logarithmic in the depth (pointer doubling) or in
-the number of nodes (levels of heavy chains). No round brings nodes to the driver: it only reads counts.
+All steps work on node tables with joins, and the number of rounds is logarithmic in the depth (pointer doubling). No round
+brings nodes to the driver: it only reads counts. Joins towards ancestors are salted, as one node may be the ancestor of
+almost all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from papyra.operators.skew import salted_left_join
 from papyra.session import Cut
 
+#: Paths are put together from blocks of so many nodes of a chain.
+BLOCK = 64
+
+
+def _edges(links: DataFrame, child: str, parent: str) -> DataFrame:
+    return links.select(F.col(child).alias("id"), F.col(parent).alias("parent")).where("id is not null")
+
 
 def parent_table(links: DataFrame, child: str, parent: str) -> DataFrame:
     """One row ``id, parent`` per node. A node that is only a parent, or only has null parents, is a root (null parent).
 
     Null children are dropped: they name no node. Repeated links count once. A child of several parents keeps the smallest,
-    so the result is a forest whatever the input.
+    so the result is a forest whatever the input; ``extra_parents`` reports the links that are left out by that.
     """
-    edges = links.select(F.col(child).alias("id"), F.col(parent).alias("parent")).where("id is not null")
+    edges = _edges(links, child, parent)
     ends = edges.unionByName(edges.where("parent is not null").select(F.col("parent").alias("id"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent")))
     return ends.groupBy("id").agg(F.min("parent").alias("parent"))
 
 
+def extra_parents(links: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
+    """``id, parent, kept``: the links of children with several parents that ``parent_table`` leaves out, and the parent it keeps. A cycle through such a link isn't seen."""
+    once = _edges(links, child, parent).where("parent is not null").distinct()
+    several = once.groupBy("id").agg(F.min("parent").alias("kept"), F.max("parent").alias("__last")).where("kept != __last").select("id", "kept")
+    return once.join(several, "id").where("parent != kept").select("id", "parent", "kept")
+
+
+def _towards(state: DataFrame, ahead: DataFrame) -> DataFrame:
+    """Every row joined with the row of the node it points at; a node many point at is salted."""
+    return salted_left_join(state, ahead, ["p"], F.col("id"))
+
+
 def cycle_nodes(nodes: DataFrame, cut: Cut) -> DataFrame:
     """``id, cycle_id`` of the nodes on a cycle of ``nodes(id, parent)``; cycle_id is the smallest id on the cycle.
 
-    Pointers are doubled until the set they point at no longer shrinks: then every tail has been walked off, and that set
-    is exactly the nodes on cycles. A second doubling over those nodes only takes the minimum around each cycle, until a
-    round changes nothing (each window of the cycle then has the same minimum as the window after it, all the way round).
+    Pointers are doubled, and with them the smallest id on the way. Rows that run past a root are gone. Once the set they
+    point at no longer shrinks, every tail has been walked off, and that set is exactly the nodes on cycles; once a round
+    changes no minimum, each window of a cycle has the same minimum as the window after it, all the way round.
     """
-    at = cut(nodes.where("parent is not null").select("id", F.col("parent").alias("p")))
-    size = None
+    at = cut(nodes.where("parent is not null").select("id", F.col("parent").alias("p"), F.col("id").alias("m"), F.lit(True).alias("changed")))
+    before = None
     while True:
-        targets = at.agg(F.count_distinct("p")).first()[0]
-        if targets == size or targets == 0:
+        targets, moving = at.agg(F.count_distinct("p"), F.count_if("changed")).first()
+        if targets == 0 or (targets == before and not moving):
             break
-        size = targets
-        hop = at.select(F.col("id").alias("p"), F.col("p").alias("q"))
-        step = cut(at.join(hop, "p").select("id", F.col("q").alias("p")))  # those that ran past a root are gone
+        before = targets
+        ahead = at.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("m").alias("n"))
+        met = _towards(at.select("id", "p", "m"), ahead).where("q is not null")
+        step = cut(met.select("id", F.col("q").alias("p"), F.least("m", "n").alias("m"), (F.col("n") < F.col("m")).alias("changed")))
         cut.drop(at)
         at = step
-    on = at.select(F.col("p").alias("id")).distinct()
-    state = cut(nodes.join(on, "id", "left_semi").select("id", F.col("parent").alias("p"), F.col("id").alias("m")))
-    cut.drop(at)
-    while True:
-        ahead = state.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("m").alias("n"))
-        step = cut(state.join(ahead, "p").select("id", F.col("q").alias("p"), F.least("m", "n").alias("m"), (F.col("n") < F.col("m")).alias("changed")))
-        cut.drop(state)
-        state = step
-        if not state.where("changed").limit(1).count():
-            break
-    return state.select("id", F.col("m").alias("cycle_id"))
+    return at.join(at.select(F.col("p").alias("id")).distinct(), "id", "left_semi").select("id", F.col("m").alias("cycle_id"))
 
 
 def prefix_sums(df: DataFrame, group: str, order: str, value: str, out: str, cut: Cut) -> DataFrame:
@@ -68,87 +80,112 @@ def prefix_sums(df: DataFrame, group: str, order: str, value: str, out: str, cut
     return local.join(parts, [group, "__part"]).withColumn(out, F.col("__l") + F.col("__b")).drop("__l", "__b", "__part")
 
 
-def hierarchy(spark: SparkSession, links: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
-    """Every node with ``parent, root, depth, path, n_descendants, enter, leave, chain, chain_pos, cycle_id, on_cycle``.
+def climb(nodes: DataFrame, cut: Cut) -> tuple[DataFrame, int]:
+    """``id, p, root, depth, acc, cycle`` of ``nodes(id, up, cycle)``: root, depth and subtree size, and the cycle of the root. And the number of nodes without root, as they are in or below a cycle.
+
+    After round i, p is the 2^i-th ancestor and acc counts the nodes less than 2^i levels below. A tree that isn't finished
+    closes nodes in every round, so when none is closed all that are open never reach a root.
+    """
+    up = F.col("up")
+    state = cut(nodes.select("id", up.alias("p"), F.coalesce("up", "id").alias("root"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("acc"), "cycle"))
+    before = None
+    while True:
+        left = state.agg(F.count("p")).first()[0]
+        if left in (0, before):
+            return state, left
+        before = left
+        below = state.where("p is not null").groupBy(F.col("p").alias("id")).agg(F.sum("acc").alias("more"))
+        ahead = state.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("cycle").alias("c"))
+        met = _towards(state, ahead).join(below, "id", "left")
+        step = cut(met.select("id", F.col("q").alias("p"), F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.coalesce("c", "cycle").alias("cycle")))
+        cut.drop(state)
+        state = step
+
+
+def label_trees(spark: SparkSession, links: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
+    """Every node with ``parent, root, depth, n_descendants, enter, leave, chain, chain_pos, segments, cycle_id, on_cycle``.
 
     Cycles are told apart first: a node on a cycle is the root of what hangs below it, keeps its parent, and carries the
     smallest id of the cycle as ``cycle_id``; nodes below inherit it with ``on_cycle`` false; all others have null.
-    ``path`` runs from the root to the node. Descendants of a node are exactly the nodes of the same root whose ``enter``
-    lies in ``(enter, leave)``, as preorder numbers start at 0 in every tree.
+    Descendants of a node are exactly the nodes of the same root whose ``enter`` lies in ``(enter, leave)``, as preorder
+    numbers start at 0 in every tree.
 
     Heavy-path decomposition: subtree sizes by doubling; every node's largest child (ties: smallest id) continues its
-    chain, so any path meets at most log2(n) chains. Preorder numbers are consecutive along a chain, which makes chains
-    intervals; paths are concatenated from chain segments, one chain level a round.
+    chain, so any path meets at most log2(n) chains. ``chain`` is the head of a node's chain and ``chain_pos`` its place;
+    preorder numbers are consecutive along a chain, which makes chains intervals. ``segments`` are the pieces of chains,
+    (head, first depth, last depth), of which the path from the root consists: at most log2(n), however long it is.
 
     Nulls, repeats and several parents: see ``parent_table``. Empty table: no rows.
     """
     cut = Cut(spark, "hierarchy")
     nodes = cut(parent_table(links, child, parent))
-    cycles = cut(cycle_nodes(nodes, cut))
-    trees = cut(nodes.join(cycles, "id", "left").select("id", "parent", "cycle_id", F.when(F.col("cycle_id").isNull(), F.col("parent")).alias("up")))
-
-    # roots, depths and sizes: after round i, p is the 2^i-th ancestor and acc the nodes less than 2^i levels below
-    state = cut(trees.select("id", F.col("up").alias("p"), F.coalesce("up", "id").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("acc")))
-    while state.where("p is not null").limit(1).count():
-        below = state.where("p is not null").groupBy(F.col("p").alias("id")).agg(F.sum("acc").alias("more"))
-        ahead = state.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("root").alias("r"), F.col("depth").alias("d"))
-        step = cut(
-            state.join(ahead, "p", "left").join(below, "id", "left").select(
-                "id", F.col("q").alias("p"), F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")
-            )
-        )
+    key = nodes.schema["id"].dataType
+    none = F.lit(None).cast(key)
+    climbed, lost = climb(nodes.select("id", F.col("parent").alias("up"), none.alias("cycle")), cut)
+    if lost:
+        ringed = cut(nodes.join(climbed.where("p is not null").select("id"), "id", "left_semi"))
+        rings = cut(cycle_nodes(ringed, cut))
+        again = ringed.join(rings, "id", "left").select("id", F.when(F.col("cycle_id").isNull(), F.col("parent")).alias("up"), F.col("cycle_id").alias("cycle"))
+        climbed = climbed.where("p is null").unionByName(climb(cut(again), cut)[0])
+    on_cycle = (F.col("root") == F.col("id")) & F.col("cycle").isNotNull()
+    sized = cut(nodes.join(climbed.drop("p"), "id").withColumn("on_cycle", on_cycle).withColumn("up", F.when(~on_cycle, F.col("parent"))))
+
+    # heavy children, and where each child's subtree begins after its parent
+    best = sized.where("up is not null").groupBy("up").agg(F.min(F.struct((-F.col("acc")).alias("a"), "id")).alias("h")).select(F.col("up").alias("p"), F.col("h.id").alias("heavy"), (-F.col("h.a")).alias("heavy_size"))
+    kin = cut(_towards(sized.select("id", F.col("up").alias("p"), "acc", "depth"), best))
+    light = prefix_sums(kin.where("p is not null and id != heavy").select("id", "p", "acc", "heavy_size"), "p", "id", "acc", "earlier", cut).select("id", (F.col("earlier") + F.col("heavy_size") + 1).alias("off"))
+
+    # down from the root by doubling: preorder numbers, the head of the own chain, and the pieces of chains above it.
+    # A window reaches from p (exclusive) down to the node; a piece that begins above its window has no head yet.
+    heavy = F.col("id") == F.col("heavy")
+    piece = f"array<struct<head:{key.simpleString()},first:bigint,last:bigint>>"
+    own = F.struct(none.alias("head"), F.lit(None).cast("long").alias("first"), (F.col("depth") - 1).alias("last"))
+    starts = F.when(F.coalesce(heavy, F.lit(False)), None).otherwise(F.struct("id", "depth")).alias("head")
+    state = cut(kin.join(light, "id", "left").select("id", "p", F.when(F.col("p").isNull(), 0).when(heavy, 1).otherwise(F.col("off")).cast("long").alias("enter"), starts, F.when(F.col("off").isNotNull(), F.array(own)).otherwise(F.array()).cast(piece).alias("pieces")))
+    while not state.where("p is not null").isEmpty():
+        ahead = state.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("enter").alias("e"), F.col("head").alias("h"), F.col("pieces").alias("above"))
+        filled = F.transform("pieces", lambda x: F.struct(F.coalesce(x["head"], F.col("h.id")).alias("head"), F.coalesce(x["first"], F.col("h.depth")).alias("first"), x["last"].alias("last")))
+        pieces = F.when(F.col("above").isNull(), F.col("pieces")).otherwise(F.concat("above", filled))
+        step = cut(_towards(state, ahead).select("id", F.col("q").alias("p"), (F.col("enter") + F.coalesce("e", F.lit(0))).alias("enter"), F.coalesce("head", "h").alias("head"), pieces.alias("pieces")))
         cut.drop(state)
         state = step
-    sized = cut(trees.join(state.drop("p"), "id"))
-    cut.drop(state)
-
-    # heavy children, and where each light child's subtree begins after its parent
-    heavy = sized.where("up is not null").groupBy("up").agg(F.min(F.struct((-F.col("acc")).alias("a"), "id")).alias("h")).select("up", F.col("h.id").alias("heavy"), (-F.col("h.a")).alias("heavy_size"))
-    kin = cut(sized.join(heavy, "up", "left"))
-    light = prefix_sums(kin.where("up is not null and id != heavy").select("id", "up", "acc", "heavy_size"), "up", "id", "acc", "earlier", cut)
-    light = light.select("id", (F.col("earlier") + F.col("heavy_size") + 1).alias("off"))
-
-    # chains: head and position of every node, by doubling over heavy links
-    chain = cut(kin.select("id", F.when(F.col("id") == F.col("heavy"), F.col("up")).alias("p"), F.when(F.col("id") == F.col("heavy"), F.col("up")).otherwise(F.col("id")).alias("head"), F.when(F.col("id") == F.col("heavy"), 1).otherwise(0).cast("long").alias("pos")))
-    while chain.where("p is not null").limit(1).count():
-        ahead = chain.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("head").alias("h"), F.col("pos").alias("d"))
-        step = cut(chain.join(ahead, "p", "left").select("id", F.col("q").alias("p"), F.coalesce("h", "head").alias("head"), (F.col("pos") + F.coalesce("d", F.lit(0))).alias("pos")))
-        cut.drop(chain)
-        chain = step
-    placed = cut(kin.select("id", "parent", "up", "root", "depth", "acc", "cycle_id").join(chain.drop("p"), "id"))
-    cut.drop(chain)
-
-    # chain table, solved level by level: the chain of a root first, then chains hanging from solved ones
-    segments = placed.groupBy("head").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("segment"))
-    heads = placed.where("id = head").select("head", "up").join(segments, "head").join(light.withColumnRenamed("id", "head"), "head", "left")
-    over = placed.select(F.col("id").alias("up"), F.col("head").alias("over"), F.col("pos").alias("over_pos"))
-    chains = cut(heads.join(over, "up", "left").select("head", "segment", "off", "over", "over_pos"))
-    empty = F.slice("segment", 1, 0)
-    level = cut(chains.where("over is null").select("head", "segment", F.lit(0).cast("long").alias("start"), empty.alias("lead")))
-    solved = [level]
-    while True:
-        above = level.select(F.col("head").alias("over"), F.col("segment").alias("s"), F.col("start").alias("b"), F.col("lead").alias("l"))
-        here = chains.join(above, "over")
-        level = cut(here.select("head", "segment", (F.col("b") + F.col("over_pos") + F.col("off")).alias("start"), F.concat("l", F.slice("s", F.lit(1), (F.col("over_pos") + 1).cast("int"))).alias("lead")))
-        if not level.limit(1).count():
-            break
-        solved.append(level)
-    done = solved[0]
-    for x in solved[1:]:
-        done = done.unionByName(x)
-    top = cycles.select(F.col("id").alias("root"), F.col("cycle_id").alias("__cycle"))
-    return (
-        placed.join(done, "head").join(top, "root", "left")
-        .select(
-            "id", "parent", "root", F.col("depth").cast("long").alias("depth"),
-            F.concat("lead", F.slice("segment", F.lit(1), (F.col("pos") + 1).cast("int"))).alias("path"),
-            (F.col("acc") - 1).alias("n_descendants"), (F.col("start") + F.col("pos")).alias("enter"), (F.col("start") + F.col("pos") + F.col("acc")).alias("leave"),
-            F.col("head").alias("chain"), F.col("pos").alias("chain_pos"), F.col("__cycle").alias("cycle_id"), F.col("cycle_id").isNotNull().alias("on_cycle"),
-        )
+    last = F.struct(F.col("head.id").alias("head"), F.col("head.depth").alias("first"), F.col("depth").alias("last"))
+    return sized.join(state.drop("p"), "id").select(
+        "id", "parent", "root", "depth", (F.col("acc") - 1).alias("n_descendants"), "enter", (F.col("enter") + F.col("acc")).alias("leave"), F.col("head.id").alias("chain"), (F.col("depth") - F.col("head.depth")).alias("chain_pos"),
+        F.concat("pieces", F.array(last)).cast(piece).alias("segments"), F.col("cycle").alias("cycle_id"), "on_cycle",
     )
 
 
+def _path_blocks(tree: DataFrame) -> DataFrame:
+    """``id, depth, at, ids``: the blocks of which each node's path consists, in the order of ``at``.
+
+    Chains are cut into blocks of at most ``BLOCK`` nodes, and every piece of a path is joined with the blocks it touches, so
+    a chain is never gathered whole; the first block of a large tree is on almost every path, hence the salts.
+    """
+    block = lambda c: F.floor(c / BLOCK)
+    blocks = tree.groupBy(F.col("chain").alias("head"), block(F.col("depth")).alias("at")).agg(F.sort_array(F.collect_list(F.struct("depth", "id"))).alias("run"))
+    pieces = tree.select("id", "depth", F.explode("segments").alias("s")).select("id", "depth", "s.*")
+    pieces = pieces.withColumn("at", F.explode(F.sequence(block(F.col("first")), block(F.col("last")))))
+    met = salted_left_join(pieces, blocks, ["head", "at"], F.col("id"))
+    inside = F.filter("run", lambda x: x["depth"].between(F.col("first"), F.col("last")))
+    return met.select("id", "depth", F.col("first"), "at", F.transform(inside, lambda x: x["id"]).alias("ids"))
+
+
+def with_paths(tree: DataFrame) -> DataFrame:
+    """The nodes of ``label_trees`` with ``path``, an array from the root to the node, concatenated from chain segments. All paths together are as long as all depths."""
+    paths = _path_blocks(tree).groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("first", "at", "ids"))), lambda x: x["ids"])).alias("path"))
+    return tree.join(paths, "id")
+
+
+def hierarchy(spark: SparkSession, links: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
+    """Every node as in ``label_trees``, with its ``path`` from the root."""
+    return with_paths(Cut(spark, "trees")(label_trees(spark, links, child, parent)))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """``ancestor_id, descendant_id, levels``: all descendants of every node of a ``hierarchy`` result."""
-    pairs = tree.select(F.col("id").alias("descendant_id"), F.posexplode("path").alias("at", "ancestor_id"), "depth")
-    return pairs.where("at < depth").select("ancestor_id", "descendant_id", (F.col("depth") - F.col("at")).cast("long").alias("levels"))
+    """``ancestor_id, descendant_id, levels``: all descendants of every node of a ``hierarchy`` or ``label_trees`` result, from the pieces of chains on each node's path."""
+    above = _path_blocks(tree.select("id", "depth", "chain", "segments"))
+    at = F.greatest(F.col("first"), F.col("at") * BLOCK)
+    pairs = above.select(F.col("id").alias("descendant_id"), "depth", at.alias("base"), F.posexplode("ids").alias("i", "ancestor_id"))
+    levels = (F.col("depth") - F.col("base") - F.col("i")).cast("long")
+    return pairs.select("ancestor_id", "descendant_id", levels.alias("levels")).where("levels > 0")

@@ -2,41 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
 
-#: A key with at least this share of all rows is heavy. So there are at most 1 / HEAVY_SHARE heavy keys, whatever the data's size: that bounds what is broadcast.
-HEAVY_SHARE = 0.002
-SALTS = 64
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from papyra.session import tasks
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE, counted: str | None = None) -> DataFrame:
-    """The keys (null included) holding at least ``share`` of all rows: no more than 1/share of them.
+#: A key is heavy if it holds more rows than a task's fair share divided by this.
+PIECES_A_TASK = 4
 
-    Counted over all rows with map-side combining, or taken from ``df`` itself if it has one row per key with its count in
-    ``counted``. An empty table has none.
+
+def fair_share(spark: SparkSession) -> float:
+    """The share of all rows above which a key is heavy: it follows from the number of tasks, not from the size of the data."""
+    return 1 / (PIECES_A_TASK * tasks(spark))
+
+
+def heavy_keys(df: DataFrame, keys: list[str], share: float | None = None, counted: str | None = None) -> DataFrame:
+    """The keys (null included) holding at least ``share`` of all rows (default ``fair_share``), with ``__salts``: into how many pieces of that share each is split.
+
+    There are at most 1/share of them, and at most 2/share pieces in all, so what is broadcast and what is repeated is
+    bounded by the number of tasks. Counted over all rows with map-side combining, or taken from ``df`` itself if it has
+    one row per key with its count in ``counted``. An empty table has none.
     """
+    share = share or fair_share(df.sparkSession)
     counts = df.select(*keys, F.col(counted).alias("__n")) if counted else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return counts.join(F.broadcast(total), F.col("__n") >= F.col("__total") * F.lit(share)).select(*keys)
+    total = counts.agg((F.sum("__n") * F.lit(share)).alias("__piece"))
+    return counts.join(F.broadcast(total), F.col("__n") >= F.col("__piece")).select(*keys, F.least(F.ceil(F.col("__n") / F.col("__piece")), F.lit(2**31 - 1)).cast("int").alias("__salts"))
+
+
+def _marked(df: DataFrame, keys: list[str], heavy: DataFrame, salts: int | None, null_safe: bool) -> DataFrame:
+    """``df`` with ``__salts`` of its heavy keys, null for others."""
+    marks = heavy.select(*[F.col(k).alias(f"__h_{k}") for k in keys], (F.least("__salts", F.lit(salts)) if salts else F.col("__salts")).alias("__salts"))
+    same = lambda k: F.col(k).eqNullSafe(F.col(f"__h_{k}")) if null_safe else F.col(k) == F.col(f"__h_{k}")
+    return df.join(F.broadcast(marks), reduce(lambda a, b: a & b, map(same, keys)), "left").drop(*[f"__h_{k}" for k in keys])
 
 
-def salted(df: DataFrame, keys: list[str], spread: Column, heavy: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``df`` with column ``__salt``: a hash of ``spread`` in [0, salts) for heavy keys, 0 for the others.
+def salted(df: DataFrame, keys: list[str], spread: Column, heavy: DataFrame, salts: int | None = None) -> DataFrame:
+    """``df`` with column ``__salt``: a hash of ``spread`` in [0, the key's number of salts) for heavy keys, 0 for the others.
 
     The salt is a function of the row's content, not of a random generator, so a task that is run again after an executor
-    is lost sends its rows to the same places.
+    is lost sends its rows to the same places. ``salts``: at most so many a key.
     """
-    marks = heavy.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__heavy"))
-    on = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-        on = c if on is None else on & c
-    out = df.join(F.broadcast(marks), on, "left")
-    salt = F.when(F.col("__heavy"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    return out.withColumn("__salt", salt).drop("__heavy", *[f"__h_{k}" for k in keys])
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")), F.lit(0)).cast("int")
+    return _marked(df, keys, heavy, salts, True).withColumn("__salt", salt).drop("__salts")
 
 
-def key_statistics(df: DataFrame, keys: list[str], distinct: str, at: str, share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
+def key_statistics(df: DataFrame, keys: list[str], distinct: str, at: str, share: float | None = None, salts: int | None = None) -> DataFrame:
     """Per key: ``n_rows``, ``n_distinct`` values of ``distinct``, ``first_at`` and ``last_at`` of ``at``.
 
     Two-stage salted aggregation. Heavy keys get a salt made from ``distinct``, so equal values share a salt and the
@@ -57,21 +68,15 @@ def key_statistics(df: DataFrame, keys: list[str], distinct: str, at: str, share
     )
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, share: float = HEAVY_SHARE, salts: int = SALTS, heavy: DataFrame | None = None, strategy: str = "merge") -> DataFrame:
-    """Left outer join on ``keys`` whose heavy left keys are spread over ``salts`` tasks; both sides are shuffled, none broadcast.
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, share: float | None = None, salts: int | None = None, heavy: DataFrame | None = None, strategy: str = "merge") -> DataFrame:
+    """Left outer join on ``keys`` whose heavy left keys are spread over tasks by their weight; both sides are shuffled, none broadcast.
 
-    The right rows of heavy keys are repeated once per salt, all others once. Null keys match nothing and keep their left
+    The right rows of a heavy key are repeated once per salt, all others once. Null keys match nothing and keep their left
     rows, as in SQL. ``right`` may hold several rows per key. ``heavy``: the heavy keys where they are known already.
     ``strategy``: ``merge`` sorts both sides; ``shuffle_hash`` hashes the right one, which must then have few rows a key.
     """
     heavy = heavy_keys(left.select(*keys), keys, share) if heavy is None else heavy
     a = salted(left, keys, spread, heavy, salts)
-    marks = heavy.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__heavy"))
-    on = None
-    for k in keys:
-        c = F.col(k) == F.col(f"__h_{k}")
-        on = c if on is None else on & c
-    b = right.join(F.broadcast(marks), on, "left")
-    copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    b = b.withColumn("__salt", F.explode(copies)).drop("__heavy", *[f"__h_{k}" for k in keys])
+    b = _marked(right, keys, heavy, salts, False)
+    b = b.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
     return a.join(b.hint(strategy), [*keys, "__salt"], "left").drop("__salt")

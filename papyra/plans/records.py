@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from papyra.operators.hierarchy import cycle_nodes, descendants, hierarchy, parent_table
+from papyra.operators.hierarchy import descendants, extra_parents, hierarchy, label_trees
 from papyra.operators.references import literature_orphans, monthly_report, outer_trimmed
 from papyra.operators.skew import key_statistics
 from papyra.session import Cut, table
@@ -53,8 +53,7 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    cut = Cut(spark, "cycles")
-    return cycle_nodes(cut(parent_table(_links(spark, d), "child_id", "parent_id")), cut).select(F.col("id").alias("disease_id"), "cycle_id")
+    return label_trees(spark, _links(spark, d)).where("on_cycle").select(F.col("id").alias("disease_id"), "cycle_id")
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -63,10 +62,14 @@ def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(hierarchy(spark, _links(spark, d)))
+    return descendants(Cut(spark, "trees")(label_trees(spark, _links(spark, d))))
 
 
-QUERIES = {"p1_found": p1_found, "p1_key_stats": p1_key_stats, "p2_found": p2_found, "p2_monthly": p2_monthly, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants}
+def p4_extra_parents(spark: SparkSession, d: str) -> DataFrame:
+    return extra_parents(_links(spark, d)).select(F.col("id").alias("disease_id"), F.col("parent").alias("parent_id"), F.col("kept").alias("kept_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_key_stats": p1_key_stats, "p2_found": p2_found, "p2_monthly": p2_monthly, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p4_extra_parents": p4_extra_parents}
 
 _KEYED = """
 SELECT 'papers' AS source_table, primary_category AS key_value, id AS paper, fetched_at AS seen_at FROM papers
@@ -136,5 +139,6 @@ FROM ({_KEYED}) WHERE key_value IS NOT NULL GROUP BY 1, 2""",
     "p4_hierarchy": _TREES + """SELECT t.id AS disease_id, t.root AS root_id, t.depth, array_to_string(t.path, '/') AS path, coalesce(d.n, 0) AS n_descendants, t.cycle_id,
 t.id IN (SELECT id FROM cycles) AS on_cycle
 FROM tree t LEFT JOIN (SELECT a, count(*) AS n FROM (SELECT unnest(list_slice(path, 1, -2)) AS a FROM tree) GROUP BY 1) d ON d.a = t.id""",
+    "p4_extra_parents": _TREES + "SELECT DISTINCT l.id AS disease_id, l.parent AS parent_id, n.parent AS kept_id FROM links l JOIN nodes n ON n.id = l.id WHERE l.parent <> n.parent",
     "p4_descendants": _TREES + "SELECT path[i] AS ancestor_id, id AS descendant_id, depth + 1 - i AS levels FROM (SELECT *, unnest(generate_series(1, depth)) AS i FROM tree)",
 }
