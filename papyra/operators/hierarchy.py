@@ -7,10 +7,12 @@ almost all others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import math
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from papyra.operators.skew import salted_left_join
+from papyra.operators.skew import fair_share, salted_left_join
 from papyra.session import Cut
 
 #: Paths are put together from blocks of so many nodes of a chain.
@@ -39,31 +41,30 @@ def extra_parents(links: DataFrame, child: str = "child_id", parent: str = "pare
     return once.join(several, "id").where("parent != kept").select("id", "parent", "kept")
 
 
-def _towards(state: DataFrame, ahead: DataFrame) -> DataFrame:
-    """Every row joined with the row of the node it points at; a node many point at is salted."""
-    return salted_left_join(state, ahead, ["p"], F.col("id"))
+def _look(state: DataFrame, limit: float) -> Row:
+    """Of the rows that still point at a node: ``open`` their number, ``targets`` the number of nodes pointed at, ``moving`` whether a minimum changed, and ``heavy``, the nodes that at least ``limit`` rows point at (no more than all rows / limit)."""
+    state = state if "changed" in state.columns else state.withColumn("changed", F.lit(False))
+    per = state.where("p is not null").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("changed").alias("moved"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("open"), F.count(F.lit(1)).alias("targets"), F.coalesce(F.max("moved"), F.lit(False)).alias("moving"), F.collect_list(F.when(F.col("n") >= limit, F.struct("p", "n"))).alias("heavy")).first()
+
+
+def _towards(state: DataFrame, ahead: DataFrame, heavy: list[Row], limit: float) -> DataFrame:
+    """Every row joined with the row of the node it points at; nodes many point at are salted."""
+    if not heavy:
+        return state.join(ahead, "p", "left")
+    marks = state.sparkSession.createDataFrame([(x.p, math.ceil(x.n / limit)) for x in heavy], T.StructType([T.StructField("p", state.schema["p"].dataType), T.StructField("__salts", T.IntegerType())]))
+    return salted_left_join(state, ahead, ["p"], F.col("id"), heavy=marks)
 
 
 def cycle_nodes(nodes: DataFrame, cut: Cut) -> DataFrame:
-    """``id, cycle_id`` of the nodes on a cycle of ``nodes(id, parent)``; cycle_id is the smallest id on the cycle.
+    """``id, cycle_id`` of the nodes on a cycle of ``nodes(id, parent)``; cycle_id is the smallest id on the cycle."""
+    lost = climb(nodes.select("id", F.col("parent").alias("up"), F.col("id").alias("cycle")), cut, nodes.count())[1]
+    return rings(lost) if lost is not None else nodes.select("id", F.col("id").alias("cycle_id")).limit(0)
 
-    Pointers are doubled, and with them the smallest id on the way. Rows that run past a root are gone. Once the set they
-    point at no longer shrinks, every tail has been walked off, and that set is exactly the nodes on cycles; once a round
-    changes no minimum, each window of a cycle has the same minimum as the window after it, all the way round.
-    """
-    at = cut(nodes.where("parent is not null").select("id", F.col("parent").alias("p"), F.col("id").alias("m"), F.lit(True).alias("changed")))
-    before = None
-    while True:
-        targets, moving = at.agg(F.count_distinct("p"), F.count_if("changed")).first()
-        if targets == 0 or (targets == before and not moving):
-            break
-        before = targets
-        ahead = at.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("m").alias("n"))
-        met = _towards(at.select("id", "p", "m"), ahead).where("q is not null")
-        step = cut(met.select("id", F.col("q").alias("p"), F.least("m", "n").alias("m"), (F.col("n") < F.col("m")).alias("changed")))
-        cut.drop(at)
-        at = step
-    return at.join(at.select(F.col("p").alias("id")).distinct(), "id", "left_semi").select("id", F.col("m").alias("cycle_id"))
+
+def rings(lost: DataFrame) -> DataFrame:
+    """``id, cycle_id`` of the cycles among the nodes without root that ``climb`` returns."""
+    return lost.join(lost.select(F.col("p").alias("id")).distinct(), "id", "left_semi").select("id", F.col("m").alias("cycle_id"))
 
 
 def prefix_sums(df: DataFrame, group: str, order: str, value: str, out: str, cut: Cut) -> DataFrame:
@@ -80,26 +81,38 @@ def prefix_sums(df: DataFrame, group: str, order: str, value: str, out: str, cut
     return local.join(parts, [group, "__part"]).withColumn(out, F.col("__l") + F.col("__b")).drop("__l", "__b", "__part")
 
 
-def climb(nodes: DataFrame, cut: Cut) -> tuple[DataFrame, int]:
-    """``id, p, root, depth, acc, cycle`` of ``nodes(id, up, cycle)``: root, depth and subtree size, and the cycle of the root. And the number of nodes without root, as they are in or below a cycle.
+def climb(nodes: DataFrame, cut: Cut, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """(nodes of trees: ``id, root, depth, acc, cycle``; nodes without root, as they are in or below a cycle: ``id, p, m``, or None) of ``nodes(id, up, cycle)``.
 
-    After round i, p is the 2^i-th ancestor and acc counts the nodes less than 2^i levels below. A tree that isn't finished
-    closes nodes in every round, so when none is closed all that are open never reach a root.
+    After round i, p is the 2^i-th ancestor, acc counts the nodes less than 2^i levels below, and m is the smallest of the
+    first 2^i ids on the way. A tree that isn't finished closes nodes in every round; so once none is closed, all that are
+    open never reach a root. They go on until the set they point at no longer shrinks: then every tail has been walked off,
+    and that set is exactly the nodes on cycles; and until a round changes no minimum: then each window of a cycle has the
+    same minimum as the window after it, all the way round.
     """
-    up = F.col("up")
-    state = cut(nodes.select("id", up.alias("p"), F.coalesce("up", "id").alias("root"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("acc"), "cycle"))
-    before = None
+    up, limit = F.col("up"), n * fair_share(cut.spark)
+    state = cut(nodes.select("id", up.alias("p"), F.coalesce("up", "id").alias("root"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("acc"), "cycle", F.col("id").alias("m"), F.lit(True).alias("changed")))
+    done, before, spent = None, None, state
+    columns = ["id", "root", "depth", "acc", "cycle"]
     while True:
-        left = state.agg(F.count("p")).first()[0]
-        if left in (0, before):
-            return state, left
-        before = left
+        now = _look(state, limit)
+        if now.open == 0:
+            return state.select(*columns), None
+        if done is None and before and before.open == now.open:
+            done, state, spent = state.where("p is null").select(*columns), state.where("p is not null"), None
+        if done is not None and before.targets == now.targets and not now.moving:
+            return done, state.select("id", "p", "m")
+        before = now
         below = state.where("p is not null").groupBy(F.col("p").alias("id")).agg(F.sum("acc").alias("more"))
-        ahead = state.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("cycle").alias("c"))
-        met = _towards(state, ahead).join(below, "id", "left")
-        step = cut(met.select("id", F.col("q").alias("p"), F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.coalesce("c", "cycle").alias("cycle")))
-        cut.drop(state)
-        state = step
+        ahead = state.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("cycle").alias("c"), F.col("m").alias("k"))
+        met = _towards(state, ahead, now.heavy, limit).join(below, "id", "left")
+        state = cut(met.select(
+            "id", F.col("q").alias("p"), F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.coalesce("c", "cycle").alias("cycle"),
+            F.least("m", "k").alias("m"), F.coalesce(F.col("k") < F.col("m"), F.lit(False)).alias("changed"),
+        ))
+        if spent is not None:  # the table that holds the finished trees stays
+            cut.drop(spent)
+        spent = state
 
 
 def label_trees(spark: SparkSession, links: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
@@ -121,18 +134,20 @@ def label_trees(spark: SparkSession, links: DataFrame, child: str = "child_id",
     nodes = cut(parent_table(links, child, parent))
     key = nodes.schema["id"].dataType
     none = F.lit(None).cast(key)
-    climbed, lost = climb(nodes.select("id", F.col("parent").alias("up"), none.alias("cycle")), cut)
-    if lost:
-        ringed = cut(nodes.join(climbed.where("p is not null").select("id"), "id", "left_semi"))
-        rings = cut(cycle_nodes(ringed, cut))
-        again = ringed.join(rings, "id", "left").select("id", F.when(F.col("cycle_id").isNull(), F.col("parent")).alias("up"), F.col("cycle_id").alias("cycle"))
-        climbed = climbed.where("p is null").unionByName(climb(cut(again), cut)[0])
+    n = nodes.count()
+    limit = n * fair_share(spark)
+    climbed, lost = climb(nodes.select("id", F.col("parent").alias("up"), none.alias("cycle")), cut, n)
+    if lost is not None:
+        again = nodes.join(lost.select("id"), "id", "left_semi").join(rings(lost), "id", "left")
+        again = again.select("id", F.when(F.col("cycle_id").isNull(), F.col("parent")).alias("up"), F.col("cycle_id").alias("cycle"))
+        climbed = climbed.unionByName(climb(cut(again), cut, n)[0])
     on_cycle = (F.col("root") == F.col("id")) & F.col("cycle").isNotNull()
-    sized = cut(nodes.join(climbed.drop("p"), "id").withColumn("on_cycle", on_cycle).withColumn("up", F.when(~on_cycle, F.col("parent"))))
+    sized = cut(nodes.join(climbed, "id").withColumn("on_cycle", on_cycle).withColumn("up", F.when(~on_cycle, F.col("parent"))))
 
     # heavy children, and where each child's subtree begins after its parent
     best = sized.where("up is not null").groupBy("up").agg(F.min(F.struct((-F.col("acc")).alias("a"), "id")).alias("h")).select(F.col("up").alias("p"), F.col("h.id").alias("heavy"), (-F.col("h.a")).alias("heavy_size"))
-    kin = cut(_towards(sized.select("id", F.col("up").alias("p"), "acc", "depth"), best))
+    tied = sized.select("id", F.col("up").alias("p"), "acc", "depth")
+    kin = cut(_towards(tied, best, _look(tied, limit).heavy, limit))
     light = prefix_sums(kin.where("p is not null and id != heavy").select("id", "p", "acc", "heavy_size"), "p", "id", "acc", "earlier", cut).select("id", (F.col("earlier") + F.col("heavy_size") + 1).alias("off"))
 
     # down from the root by doubling: preorder numbers, the head of the own chain, and the pieces of chains above it.
@@ -142,11 +157,11 @@ def label_trees(spark: SparkSession, links: DataFrame, child: str = "child_id",
     own = F.struct(none.alias("head"), F.lit(None).cast("long").alias("first"), (F.col("depth") - 1).alias("last"))
     starts = F.when(F.coalesce(heavy, F.lit(False)), None).otherwise(F.struct("id", "depth")).alias("head")
     state = cut(kin.join(light, "id", "left").select("id", "p", F.when(F.col("p").isNull(), 0).when(heavy, 1).otherwise(F.col("off")).cast("long").alias("enter"), starts, F.when(F.col("off").isNotNull(), F.array(own)).otherwise(F.array()).cast(piece).alias("pieces")))
-    while not state.where("p is not null").isEmpty():
+    while (now := _look(state, limit)).open:
         ahead = state.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("enter").alias("e"), F.col("head").alias("h"), F.col("pieces").alias("above"))
         filled = F.transform("pieces", lambda x: F.struct(F.coalesce(x["head"], F.col("h.id")).alias("head"), F.coalesce(x["first"], F.col("h.depth")).alias("first"), x["last"].alias("last")))
         pieces = F.when(F.col("above").isNull(), F.col("pieces")).otherwise(F.concat("above", filled))
-        step = cut(_towards(state, ahead).select("id", F.col("q").alias("p"), (F.col("enter") + F.coalesce("e", F.lit(0))).alias("enter"), F.coalesce("head", "h").alias("head"), pieces.alias("pieces")))
+        step = cut(_towards(state, ahead, now.heavy, limit).select("id", F.col("q").alias("p"), (F.col("enter") + F.coalesce("e", F.lit(0))).alias("enter"), F.coalesce("head", "h").alias("head"), pieces.alias("pieces")))
         cut.drop(state)
         state = step
     last = F.struct(F.col("head.id").alias("head"), F.col("head.depth").alias("first"), F.col("depth").alias("last"))
