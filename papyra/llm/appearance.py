@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from papyra.operators.skew import heavy_keys, salted_left_join
 from papyra.session import Cut
 
-# Letters of other scripts drawn like Latin ones, each line the letters and what they look like.
+# Letters of other scripts drawn like Latin ones, each line the letters and what they look like: those of the
+# public confusables table of Unicode (UTS #39) whose shape is that of one Latin letter, without letters that merely resemble one.
 LOOKALIKES = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G",
@@ -23,6 +24,8 @@ LOOKALIKES = {
     "օ": "o", "Օ": "O", "Տ": "S", "Լ": "L", "հ": "h", "ս": "u", "զ": "q", "ց": "g",
     # Cherokee
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Coptic
     "Ⲟ": "O", "ⲟ": "o", "Ⲥ": "C", "ⲥ": "c", "Ⲣ": "P", "ⲣ": "p", "Ⲭ": "X", "ⲭ": "x", "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T",
 }
@@ -94,15 +97,19 @@ def consistent_pieces(spark: SparkSession, pieces: DataFrame) -> DataFrame:
     """
     table = spark.createDataFrame(appearance_rows(), "ch string, parts array<string>, classes array<int>")
     points = pieces.select("piece", F.posexplode(F.split("piece", "")).alias("i", "ch")).where("ch != ''")
-    both = points.join(F.broadcast(table), "ch", "left")
-    joins = (F.col("ch") == "\u200d") & F.expr(r"piece rlike '[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}]\\x{FE0F}?\\x{200D}[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}]'")
+    order = Window.partitionBy("piece").orderBy("i")
+    before, after = F.lag("ch", 1).over(order), F.lead("ch", 1).over(order)
+    before = F.when(before == "\ufe0f", F.lag("ch", 2).over(order)).otherwise(before)
+    picture = lambda c: F.coalesce(c.rlike(r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"), F.lit(False))
+    joins = F.col("joins")
+    both = points.withColumn("joins", (F.col("ch") == "\u200d") & picture(before) & picture(after)).join(F.broadcast(table), "ch", "left")
     own = F.when(F.col("parts").isNull() | joins, F.array("ch")).otherwise(F.col("parts"))
     classes = F.when(F.col("parts").isNull() | joins, F.array(F.lit(0))).otherwise(F.col("classes"))
     flat = both.select("piece", "i", F.posexplode(F.arrays_zip(own.alias("p"), classes.alias("c"))).alias("j", "x")).select("piece", "i", "j", "x.p", "x.c")
     run = Window.partitionBy("piece").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, 0)
     flat = flat.withColumn("cluster", F.sum(F.when(F.col("c") == 0, 1).otherwise(0)).over(run))
-    order = F.sort_array(F.collect_list(F.struct("cluster", "c", "i", "j", "p")))
-    forms = flat.groupBy("piece").agg(F.array_join(F.transform(order, lambda x: x["p"]), "").alias("form"))
+    listed = F.sort_array(F.collect_list(F.struct("cluster", "c", "i", "j", "p")))
+    forms = flat.groupBy("piece").agg(F.array_join(F.transform(listed, lambda x: x["p"]), "").alias("form"))
     return pieces.join(forms, "piece", "left").select("piece", recompose(F.coalesce("form", F.lit(""))).alias("form"))
 
 
@@ -117,32 +124,51 @@ def consistent_form(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     an empty one the empty form. Very long texts are handled like others: a text is one row before and after. Columns other
     than the two are not read and not returned.
     """
+    return _forms(spark, docs, key, text).select(F.col("__key").alias(key), "form")
+
+
+def _forms(spark: SparkSession, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``__key, form, raw``: the consistent form, and a 256-bit digest of the text as stored."""
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__key is not null")
-    special = F.col("__text").rlike(f"[^{PLAIN}]")
-    plain = rows.where(F.col("__text").isNull() | ~special).select("__key", F.col("__text").alias("form")).distinct()
+    special, raw = F.col("__text").rlike(f"[^{PLAIN}]"), F.unhex(F.sha2("__text", 256))
+    plain = rows.where(F.col("__text").isNull() | ~special).select("__key", F.col("__text").alias("form"), raw.alias("raw")).distinct()
     split = F.regexp_extract_all("__text", F.lit(f"[{PLAIN}]?[^{PLAIN}]+|[{PLAIN}]+(?![^{PLAIN}])"), F.lit(0))
-    at = rows.where(special).select("__key", F.posexplode(split).alias("pos", "piece"))
+    at = rows.where(special).select("__key", raw.alias("raw"), F.posexplode(split).alias("pos", "piece"))
+    at = at.withColumn("raw", F.when(F.col("pos") == 0, F.col("raw")))  # once a text is enough
     odd = at.where(F.col("piece").rlike(f"[^{PLAIN}]"))
     counts = Cut(spark, "pieces")(odd.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
     forms = consistent_pieces(spark, counts.select("piece"))
-    done = salted_left_join(odd, forms, ["piece"], F.col("__key"), heavy=heavy_keys(counts, ["piece"], counted="n")).select("__key", "pos", "form")
-    pieces = done.unionByName(at.where(~F.col("piece").rlike(f"[^{PLAIN}]")).select("__key", "pos", F.col("piece").alias("form")))
-    whole = pieces.groupBy("__key").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("pos", "form"))), lambda x: x["form"]), "").alias("form"))
-    return plain.unionByName(whole).withColumnRenamed("__key", key)
+    done = salted_left_join(odd, forms, ["piece"], F.col("__key"), heavy=heavy_keys(counts, ["piece"], counted="n")).select("__key", "pos", "form", "raw")
+    pieces = done.unionByName(at.where(~F.col("piece").rlike(f"[^{PLAIN}]")).select("__key", "pos", F.col("piece").alias("form"), "raw"))
+    whole = pieces.groupBy("__key").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("pos", "form"))), lambda x: x["form"]), "").alias("form"), F.max("raw").alias("raw"))
+    return plain.unionByName(whole)
+
+
+def lookalike_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, cls, raw``: every document with any visible sign, the digest of its consistent form and that of its text as stored. Documents of one class look the same."""
+    forms = _forms(spark, docs, key, text).where(F.col("form").rlike(r"\S"))
+    return forms.select(F.col("__key").alias(key), F.unhex(F.sha2("form", 256)).alias("cls"), "raw")
 
 
 def lookalike_pairs(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key_a, key_b`` (a < b): documents whose texts differ as stored but have the same consistent form.
 
-    Null texts, and texts without any visible sign, are no cases. Exact copies of a text are no pair among themselves;
-    classes made only of copies are dropped before the join, by counting the distinct stored texts of each form. Texts are
-    compared by 256-bit digests of form and text; hot classes are salted.
+    Null texts, and texts without any visible sign, are no cases. Exact copies of a text are no pair among themselves.
+    Distinct texts are paired within their class first, each once; only then are both sides expanded to the documents that
+    hold them, so copies cost as much as the pairs they are in. Texts with many copies are salted on either side.
     """
-    forms = consistent_form(spark, docs, key, text)
-    stored = docs.select(key, F.sha2(F.col(text), 256).alias("raw")).distinct()
-    seen = Cut(spark, "forms")(forms.where(F.col("form").rlike(r"\S")).select(key, F.sha2("form", 256).alias("cls")).join(stored, key))
-    mixed = seen.groupBy("cls").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select("cls")
-    inside = seen.join(mixed, "cls", "left_semi")
-    a = inside.select("cls", F.col(key).alias("key_a"), F.col("raw").alias("raw_a"))
-    b = inside.select("cls", F.col(key).alias("key_b"), F.col("raw").alias("raw_b"))
-    return salted_left_join(a, b, ["cls"], F.col("key_a")).where("key_a < key_b and raw_a != raw_b").select("key_a", "key_b")
+    seen = Cut(spark, "forms")(lookalike_classes(spark, docs, key, text))
+    texts = seen.groupBy("cls", "raw").agg(F.count(F.lit(1)).alias("n"))
+    mixed = texts.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cls")
+    texts = Cut(spark, "texts")(texts.join(mixed, "cls", "left_semi"))
+    a, b = texts.select("cls", F.col("raw").alias("raw_a")), texts.select("cls", F.col("raw").alias("raw_b"))
+    pairs = salted_left_join(a, b, ["cls"], F.col("raw_a")).where("raw_a < raw_b").select("raw_a", "raw_b")
+    members = seen.join(texts.select("raw"), "raw", "left_semi")
+    heavy = heavy_keys(texts, ["raw"], counted="n")
+
+    def expanded(rows: DataFrame, side: str) -> DataFrame:
+        holders = members.select(F.col("raw").alias(f"raw_{side}"), F.col(key).alias(f"key_{side}"))
+        return salted_left_join(holders, rows.withColumn("met", F.lit(True)), [f"raw_{side}"], F.col(f"key_{side}"), heavy=heavy.withColumnRenamed("raw", f"raw_{side}")).where("met").drop("met")
+
+    both = expanded(expanded(pairs, "a").select("key_a", "raw_b"), "b")
+    return both.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))

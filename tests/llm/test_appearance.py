@@ -70,3 +70,21 @@ def test_hot_class_of_copies(spark):
 
 def test_empty_table(spark):
     assert pairs(spark, []) == set() and forms(spark, []) == {}
+
+
+def test_a_joiner_is_kept_only_between_its_own_pictographs(spark):
+    got = forms(spark, ["\U0001f469\u200d\U0001f52c", "\U0001f469\u200d\U0001f52cé\u200d", "\U0001f469\u200d\U0001f52cé", "\U0001f3f3\ufe0f\u200d\U0001f308"])
+    assert got[1] == got[2] and "\u200d" in got[0] and "\u200d" in got[3]
+
+
+def test_many_copies_and_one_variant_cost_their_pairs(spark):
+    """Twenty thousand copies of a text on one side, of another variant three: pairs only between the sides."""
+    df = spark.range(20_000).selectExpr("id as doc_id", "'same text here' as text").unionByName(spark.createDataFrame([(20_000 + i, "same text\u00a0here") for i in range(3)], "doc_id long, text string"))
+    got = lookalike_pairs(spark, df)
+    assert got.count() == 60_000 and got.where("key_a >= 20000 or key_b < 20000").count() == 0
+
+
+def test_lookalikes_are_letters_of_other_scripts():
+    from papyra.llm.appearance import LOOKALIKES
+
+    assert all(not unicodedata.name(c).startswith("LATIN") and t.isascii() and t.isalpha() for c, t in LOOKALIKES.items())
