@@ -18,7 +18,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_embedding_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbours.nearest_vectors(spark, table(spark, d, "embeddings"), "vec_id", "embedding", K, WIDTH, probes=neighbours.MOST_BLOCKS)
+    near = neighbours.nearest_vectors(spark, table(spark, d, "embeddings"), "vec_id", "embedding", K, WIDTH, probes=None)
     return near.select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
 
 
