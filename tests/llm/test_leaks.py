@@ -78,3 +78,32 @@ def test_affected_documents_are_removed(spark):
     docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "doc_id long, text string")
     hits = spark.createDataFrame([(2, 7), (2, 8)], "doc_id long, item_id long")
     assert {r.doc_id for r in L.without_leaks(docs, hits).collect()} == {1, 3}
+
+
+def test_an_index_serves_several_test_sets_and_copies_have_their_own_matches(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("a b c d".split()) for _ in range(n))
+    docs = [(i, text(25)) for i in range(20)]
+    docs += [(100 + i, docs[3][1]) for i in range(40)] + [(3, docs[3][1])]
+    monkeypatch.setattr(L, "SHARD_WORDS", 60)
+    monkeypatch.setattr(L, "PAIRS", 7)
+    index = L.build_index(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert index.shards.count() > 3
+    for seed in (1, 2):
+        items = [(i, text(14)) for i in range(5)] + [(50, docs[3][1])]
+        items.append((51, items[0][1]))
+        got = [tuple(r) for r in L.search_index(spark, index, spark.createDataFrame(items, "item_id long, text string"), width=4).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(docs, items, 4)
+
+
+def test_the_corpus_is_read_once_however_many_blocks(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, f"one two three four {i}") for i in range(9)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(L, "BLOCK_WORDS", 5)
+    items = spark.createDataFrame([(i, "one two three four") for i in range(2)] + [(9, "two three four 5"), (8, "three four 7 8")], "item_id long, text string")
+    index = L.build_index(spark, spark.read.parquet(str(tmp_path / "d")))
+    import shutil
+
+    shutil.rmtree(tmp_path / "d")
+    got = {(r.doc_id, r.item_id) for r in L.search_index(spark, index, items, width=3).collect()}
+    assert got == {(d, i) for d in range(9) for i in (0, 1, 9)} | {(7, 8)}
