@@ -120,7 +120,7 @@ def signature(name: str, given_names: Collection[str]) -> tuple[str, str, str, s
         own.remove(head)
         return "o", head, " ".join(own), ""
     shouted = all(w.isupper() for w in before + after)
-    known = lambda w: w in given_names or w in FULL_OF_SHORT or w in SHORT_FORMS
+    known = lambda w: w in given_names
 
     def split(ws: list[str]) -> tuple[list[str], list[str]]:
         return [w.lower() for w in ws if not initials(w, shouted)], [c for w in ws if initials(w, shouted) for c in w.lower()]
@@ -240,9 +240,10 @@ def spelling_links(spark: SparkSession, rows: DataFrame, names: str) -> DataFram
             yield pd.DataFrame(out, columns=columns)
 
     found = forms.repartition(tasks(spark), "id").mapInPandas(keys, "key string, id string, n long, middle string, named long, odd boolean, ask boolean, how double").withColumn("key", F.xxhash64("key"))
+    found = cut(found)  # made once, for asks and offers
     asks = found.where("ask").select("key", "id", "n", "middle", "named", "odd", "how")
     offers = found.where("not ask").select("key", F.col("id").alias("to"), F.col("n").alias("to_n"), F.col("middle").alias("to_middle"), F.col("named").alias("to_named"), F.col("odd").alias("to_odd"), F.col("how").alias("to_how"))
-    met = asks.join(offers.hint("merge"), "key").where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '' or " + FIT + ")")
+    met = salted_left_join(asks, offers, ["key"], F.col("id")).where("id != to and how = to_how and (middle = to_middle or middle = '' or to_middle = '' or " + FIT + ")")
     same_name = F.expr("substring_index(id, '|', 3) = substring_index(to, '|', 3)")
     above = F.expr("to_n > n or (to_n = n and to < id)")
     same_given = F.expr("substring_index(substring_index(id, '|', 3), '|', -1) = substring_index(substring_index(to, '|', 3), '|', -1)")
