@@ -8,6 +8,7 @@ from papyra.functions import text
 from papyra.operators import graph, search
 from papyra.operators.dedupe import evidence_accounting, one_per_key
 from papyra.plans.views import WITH_VIEWS, Views
+from papyra.sources.papers import category_prefix, in_range
 
 # Anchors of the page queries.
 GENE, COMPOUND, ORGANISM, TRAIT, CATEGORY = "ncbigene:700004", "mesh:D960003", "990017", "mesh:D1000001", "mesh:D970001"
@@ -97,8 +98,7 @@ def source_family(v: Views) -> DataFrame:
 
 @query("SELECT id FROM paper WHERE len(list_filter(categories, lambda c: c = 'arxiv:q-bio' OR starts_with(c, 'arxiv:q-bio.'))) > 0 AND published_date BETWEEN DATE '2010-01-01' AND DATE '2019-12-31'")
 def source_filters(v: Views) -> DataFrame:
-    prefix = F.exists("categories", lambda c: (c == "arxiv:q-bio") | c.startswith("arxiv:q-bio."))
-    return v.paper.where(prefix & F.col("published_date").between("2010-01-01", "2019-12-31")).select("id")
+    return v.paper.where(category_prefix(F.col("categories"), ["arxiv:q-bio"]) & in_range(F.col("published_date"), "2010-01-01", "2019-12-31")).select("id")
 
 
 # entity search
@@ -472,12 +472,16 @@ def is_a_edges(v: Views) -> DataFrame:
     return graph.project_is_a(v.is_a, v.disease.where("doid is not null").select(F.col("disease_id").alias("id"), F.col("doid").alias("key")))
 
 
-@query("SELECT disease_id, min(doid) AS doid FROM (SELECT lower(regexp_replace(disease_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS disease_id, doid FROM diseases) WHERE doid IS NOT NULL GROUP BY 1")
+@query("""SELECT 'mesh:' || ui AS mesh, doid, name FROM (SELECT ui, doid, name, row_number() OVER (PARTITION BY ui ORDER BY doid, name) AS rn FROM
+(SELECT upper(substring(lower(regexp_replace(disease_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), 6)) AS ui, doid, name FROM diseases) WHERE doid IS NOT NULL AND ui IS NOT NULL AND name <> '') WHERE rn = 1""")
 def disease_xrefs(v: Views) -> DataFrame:
-    """The smallest DOID, as text, of every disease that has any."""
+    """Diseases with a DOID as ontology terms that refer to their MeSH id: the smallest DOID, as text, of each id, with its name."""
+    from papyra.operators.crosswalk import disease_xrefs as smallest
     from papyra.operators.references import plain_key
 
-    return v.raw("diseases").where("doid is not null").groupBy(plain_key(F.col("disease_id")).alias("disease_id")).agg(F.min("doid").alias("doid"))
+    ui = F.upper(F.substr(plain_key(F.col("disease_id")), F.lit(6)))
+    terms = v.raw("diseases").where("doid is not null").select(F.col("doid").alias("id"), "name", F.lit(False).alias("is_obsolete"), F.array(F.concat(F.lit("MESH:"), ui)).alias("xrefs"))
+    return smallest(terms)
 
 
 @query("SELECT gene, pathway, evidence_code FROM participates")
@@ -549,14 +553,14 @@ def _query_vector(v: Views) -> list[float]:
     return v.raw("embeddings").where("vec_id = 0").select("embedding").first()[0]
 
 
-@query(f"SELECT vec_id, similarity FROM ({_COSINE}) WHERE vec_id % 5 <> 0 ORDER BY similarity DESC, vec_id LIMIT 10", views=False)
+@query(f"SELECT vec_id, similarity FROM ({_COSINE}) WHERE label <> 2 ORDER BY similarity DESC, vec_id LIMIT 10", views=False)
 def semantic_topk(v: Views) -> DataFrame:
-    return search.semantic_search(v.raw("embeddings"), _query_vector(v), "vec_id", "embedding", 10, F.col("vec_id") % 5 != 0, filter_first=True)
+    return search.semantic_search(v.raw("embeddings"), _query_vector(v), "vec_id", "embedding", 10, F.col("label") != 2, filter_first=True)
 
 
-@query(f"SELECT vec_id, similarity FROM (SELECT * FROM ({_COSINE}) ORDER BY similarity DESC, vec_id LIMIT 10) WHERE vec_id % 5 <> 0", views=False)
+@query(f"SELECT vec_id, similarity FROM (SELECT * FROM ({_COSINE}) ORDER BY similarity DESC, vec_id LIMIT 10) WHERE label <> 2", views=False)
 def semantic_topk_poststub(v: Views) -> DataFrame:
-    return search.semantic_search(v.raw("embeddings"), _query_vector(v), "vec_id", "embedding", 10, F.col("vec_id") % 5 != 0)
+    return search.semantic_search(v.raw("embeddings"), _query_vector(v), "vec_id", "embedding", 10, F.col("label") != 2)
 
 
 # pages: (section, rank, id, label)

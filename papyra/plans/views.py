@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from papyra.functions.text import PAPER_IDENTIFIERS
+from papyra.operators.crosswalk import compound_crosswalk
 from papyra.operators.dedupe import best_evidence, one_per_key
 from papyra.operators.references import plain_identifier, plain_key
 from papyra.session import table
 
 
+def accession(key: Column) -> Column:
+    """The accession that stands for a compound's: the number at the end of its key."""
+    return F.concat(F.lit("CHEBI:"), F.regexp_extract(key, r"([0-9]+)$", 1))
+
+
 class Views:
     """Each attribute is a view; nothing is read before it is used, and only the columns that a query needs."""
 
@@ -104,15 +110,17 @@ class Views:
 
     @property
     def crosswalk(self) -> DataFrame:
-        """Compound accession to MeSH key, unambiguous ones only. The accession of a compound is the number in its key modulo 997."""
-        ids = self.raw("entity_mentions").where("vertex_type = 'Compound' and entity_id is not null").select(F.col("entity_id").alias("mesh")).distinct()
-        number = F.regexp_extract("mesh", r"([0-9]+)$", 1).cast("long") % 997
-        return ids.groupBy(number.alias("accession")).agg(F.min("mesh").alias("mesh"), F.count(F.lit(1)).alias("n")).where("n = 1").select("accession", "mesh")
+        """Compound accession to MeSH key. The accession is the whole number in the key; names stand for registry numbers, keys under a name for headings; pairs of manual mentions are the curated ones."""
+        ids = self.raw("entity_mentions").where("vertex_type = 'Compound' and entity_id is not null").select("entity_id", accession(F.col("entity_id")).alias("accession"), F.substr("entity_id", F.lit(6)).alias("ui"), F.lower("name").alias("cas"), "source")
+        named = ids.where("cas is not null").select(F.col("entity_id").alias("compound_id"), "cas", "ui").distinct()
+        return compound_crosswalk(ids.select(F.col("entity_id").alias("compound_id"), "accession").distinct(), named.select("compound_id", "cas"), named.select("cas", "ui"), ids.where("source = 'manual'").select("accession", "ui"))
 
     @property
     def produced_rows(self) -> DataFrame:
-        """Delivered compound-pathway rows: the accession is the number in the gene's key modulo 997."""
-        return self.membership.select("row_id", (F.regexp_extract("gene", r"([0-9]+)$", 1).cast("long") % 997).alias("accession"), "pathway", "evidence_code")
+        """Delivered compound-pathway rows: the accession is that of the compound with the smallest key that a paper mentions together with the gene; null without one."""
+        genes, compounds = self.typed_mention("Gene").withColumnRenamed("dst", "gene"), self.typed_mention("Compound").withColumnRenamed("dst", "compound")
+        with_gene = genes.join(compounds, "src").groupBy("gene").agg(accession(F.min("compound")).alias("accession"))
+        return self.membership.join(with_gene, "gene", "left").select("row_id", "accession", "pathway", "evidence_code")
 
     @property
     def produces(self) -> DataFrame:
@@ -228,11 +236,15 @@ WITH_VIEWS = f"""WITH RECURSIVE paper AS (
   SELECT * FROM (SELECT row_id, {_key('gene_id')} AS gene, upper({_key('pathway_id')}) AS pathway, evidence_code, loaded_at FROM participates_in) WHERE gene IS NOT NULL AND pathway IS NOT NULL
 ), participates AS (
   SELECT gene, pathway, evidence_code FROM (SELECT *, row_number() OVER (PARTITION BY gene, pathway ORDER BY {_RANK}, row_id) AS rn FROM membership) WHERE rn = 1
-), crosswalk AS (
-  SELECT CAST(regexp_extract(mesh, '([0-9]+)$', 1) AS BIGINT) % 997 AS accession, min(mesh) AS mesh
-  FROM (SELECT DISTINCT entity_id AS mesh FROM entity_mentions WHERE vertex_type = 'Compound' AND entity_id IS NOT NULL) GROUP BY 1 HAVING count(*) = 1
+), compound_name AS (
+  SELECT DISTINCT 'CHEBI:' || regexp_extract(entity_id, '([0-9]+)$', 1) AS accession, substring(entity_id, 6) AS ui, lower(name) AS cas, source = 'manual' AS sure FROM entity_mentions WHERE vertex_type = 'Compound' AND entity_id IS NOT NULL
+), bridge AS (
+  SELECT a.accession, min(b.ui) AS ui FROM compound_name a JOIN compound_name b ON b.cas = a.cas GROUP BY 1 HAVING count(DISTINCT b.ui) = 1
+), curated AS (SELECT accession, min(ui) AS ui FROM compound_name WHERE sure GROUP BY 1 HAVING count(DISTINCT ui) = 1
+), crosswalk AS (SELECT coalesce(c.accession, b.accession) AS accession, 'mesh:' || coalesce(c.ui, b.ui) AS mesh FROM bridge b FULL JOIN curated c ON c.accession = b.accession
 ), produced_rows AS (
-  SELECT row_id, CAST(regexp_extract(gene, '([0-9]+)$', 1) AS BIGINT) % 997 AS accession, pathway, evidence_code FROM membership
+  SELECT m.row_id, g.accession, m.pathway, m.evidence_code FROM membership m LEFT JOIN (SELECT a.dst AS gene, 'CHEBI:' || regexp_extract(min(b.dst), '([0-9]+)$', 1) AS accession
+    FROM mention a JOIN mention b ON b.paper = a.paper WHERE a.dst_type = 'Gene' AND b.dst_type = 'Compound' GROUP BY 1) g ON g.gene = m.gene
 ), produces AS (
   SELECT pathway, mesh AS compound, evidence_code FROM (
     SELECT r.*, c.mesh, row_number() OVER (PARTITION BY r.pathway, c.mesh ORDER BY {_RANK}, r.row_id) AS rn FROM produced_rows r JOIN crosswalk c ON c.accession = r.accession) WHERE rn = 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from papyra.functions import encoder, text
 from papyra.operators import upsert
 from papyra.operators.dedupe import one_per_key
+from papyra.operators.references import plain_key
 from papyra.operators.upsert import CreateMissing
 from papyra.plans.views import WITH_VIEWS, Views
+from papyra.session import shared_dir
 from papyra.sources.biology import normalise_annotations
+from papyra.sources.papers import match_citation_results
 from papyra.streaming import events, jobs
 
 # What was there before counts as the old state, the rest as a batch of deliveries.
@@ -289,10 +293,10 @@ def mentions_by_type(v: Views) -> DataFrame:
     return v.mention.groupBy("dst_type").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("dst").alias("n_entities"))
 
 
-@query("SELECT DISTINCT a.name AS child_name, b.name AS parent_name FROM is_a i JOIN diseases a ON lower(trim(a.disease_id)) = i.child JOIN diseases b ON lower(trim(b.disease_id)) = i.parent WHERE a.name IS NOT NULL AND b.name IS NOT NULL")
+@query("SELECT DISTINCT a.name AS child_name, b.name AS parent_name FROM is_a i JOIN (SELECT *, lower(regexp_replace(disease_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS k FROM diseases) a ON a.k = i.child JOIN (SELECT *, lower(regexp_replace(disease_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS k FROM diseases) b ON b.k = i.parent WHERE a.name IS NOT NULL AND b.name IS NOT NULL")
 def mesh_pairs(v: Views) -> DataFrame:
     """Every name of a child with every name of its parent, by joins on the edge."""
-    names = v.raw("diseases").where("name is not null").select(F.lower(F.trim("disease_id")).alias("id"), "name").distinct()
+    names = v.raw("diseases").where("name is not null").select(plain_key(F.col("disease_id")).alias("id"), "name").distinct()
     a, b = names.select(F.col("id").alias("child"), F.col("name").alias("child_name")), names.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"))
     return v.is_a.join(a, "child").join(b, "parent").select("child_name", "parent_name").distinct()
 
@@ -306,11 +310,12 @@ def set_ops_pack(v: Views) -> DataFrame:
     return count(ends.join(known, "id", "left_anti"), "unresolved").unionByName(count(pending, "pending"))
 
 
-@query("SELECT c.stub_id, p.id AS matched FROM stub c LEFT JOIN (SELECT pmid, min(id) AS id FROM paper WHERE pmid IS NOT NULL GROUP BY 1) p ON p.pmid = c.pmid WHERE c.sid IS NOT NULL")
+@query("""SELECT p.id, r.paper AS s2_paper_id, r.n AS citation_count, r.out AS reference_count, r.pmid IS NOT NULL AS found FROM paper p
+LEFT JOIN (SELECT pmid, min(sid) AS paper, count(*) AS n, count(*) FILTER (direction = 'references') AS out FROM stub WHERE pmid IS NOT NULL GROUP BY 1) r ON r.pmid = p.pmid WHERE p.pmid IS NOT NULL""")
 def citation_match_back(v: Views) -> DataFrame:
-    """Stubs matched to papers by an external id; those without any identifier are dropped, those without a match stay."""
-    by = v.paper.where("pmid is not null").groupBy("pmid").agg(F.min("id").alias("matched"))
-    return v.stub.where("sid is not null").select("stub_id", "pmid").join(by, "pmid", "left").select("stub_id", "matched")
+    """Papers asked for by their PubMed id, and stubs read as replies, matched by that id; papers without a reply stay as not found."""
+    replies = v.stub.where("pmid is not null").groupBy("pmid").agg(F.min("sid").alias("paperId"), F.count(F.lit(1)).alias("citationCount"), F.count_if(F.col("direction") == "references").alias("referenceCount"))
+    return match_citation_results(v.paper.where("pmid is not null").select("id", F.col("pmid").alias("identifier")), replies.withColumn("externalIds", F.create_map(F.lit("PubMed"), "pmid")), "PubMed")
 
 
 # annotations and incremental jobs on the event table
@@ -330,11 +335,12 @@ def mention_normalise(v: Views) -> DataFrame:
     return normalise_annotations(rows, "user_id", "event_id")
 
 
-@query("SELECT user_id AS job, CAST(max(ts) FILTER (ts <= TIMESTAMP '2024-01-20') AS DATE) AS cursor_date, count(*) AS n FROM events GROUP BY 1", views=False)
+@query("SELECT event_type AS job, greatest(max(CAST(ts AS DATE)) FILTER (CAST(ts AS DATE) <= DATE '2024-01-20'), DATE '2024-01-05') AS cursor_date FROM events WHERE event_type IS NOT NULL GROUP BY 1", views=False)
 def forward_cursor(v: Views) -> DataFrame:
-    """Per job the newest day seen up to a guard; later events are counted but don't move the cursor."""
-    ts = F.col("ts")
-    return v.raw("events").groupBy(F.col("user_id").alias("job")).agg(F.max(F.when(ts <= F.lit("2024-01-20").cast("timestamp"), ts)).cast("date").alias("cursor_date"), F.count(F.lit(1)).alias("n"))
+    """Per job, that is kind of event, the newest day seen up to a guard, never before the previous cursor."""
+    rows, day = v.raw("events"), F.col("ts").cast("date")
+    kinds = [r[0] for r in rows.where("event_type is not null").select("event_type").distinct().collect()]  # a handful
+    return v.spark.createDataFrame([(k, jobs.forward_cursor(date(2024, 1, 5), rows.where(F.col("event_type") == k), day, date(2024, 1, 20))) for k in kinds], "job string, cursor_date date")
 
 
 @query("SELECT count(*) AS n, min(d) AS earliest, max(d) FILTER (d <= DATE '2024-01-20') AS latest FROM (SELECT CAST(ts AS DATE) AS d FROM events)", views=False)
@@ -355,10 +361,6 @@ def date_windows(v: Views) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", views=False)
 def consume_stream(v: Views) -> DataFrame:
     """Hourly counts of the event table read as a stream to its end; the sink is a table in the shared folder."""
-    import uuid
-
-    from papyra.session import shared_dir
-
     base = f"{shared_dir(v.spark)}/stream-{uuid.uuid4().hex}"
     schema = v.raw("events").schema
     source = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.d) if v.raw("events").inputFiles()[0].endswith("/events.parquet") else events.stream_of(v.spark, f"{v.d}/events.parquet", schema)
@@ -367,13 +369,20 @@ def consume_stream(v: Views) -> DataFrame:
     return v.spark.read.parquet(f"{base}/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS job, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 3", views=False)
+@query("""SELECT job, started_at, count, CASE WHEN lo = hi THEN lo ELSE lo || ' to ' || hi END AS date_range FROM (SELECT event_type AS job, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started_at, count(*) AS count,
+strftime(min(ts), '%Y-%m-%d') AS lo, strftime(max(ts), '%Y-%m-%d') AS hi FROM events WHERE event_type IS NOT NULL GROUP BY 1) ORDER BY started_at DESC, job LIMIT 3""", views=False)
 def run_log(v: Views) -> DataFrame:
-    """The last three runs of every job."""
-    from pyspark.sql.window import Window
+    """A run logged for every kind of event, and the last three of them in time read back."""
+    at = f"{shared_dir(v.spark)}/runs-{uuid.uuid4().hex}"
+    runs = v.raw("events").where("event_type is not null").groupBy("event_type").agg(F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.count(F.lit(1)).alias("n"), F.min("ts").cast("date").alias("lo"), F.max("ts").cast("date").alias("hi"))
+    for r in runs.collect():  # a handful
+        jobs.log_run(v.spark, at, job=r.event_type, started_at=r.at, count=r.n, earliest=r.lo, latest=r.hi)
+    return jobs.read_runs(v.spark, at, last=3).select("job", "started_at", "count", "date_range") if jobs_logged(v, at) else v.spark.createDataFrame([], "job string, started_at string, count long, date_range string")
+
 
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return v.raw("events").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select(F.col("user_id").cast("string").alias("job"), "event_id", "ts")
+def jobs_logged(v: Views, at: str) -> bool:
+    path = v.spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(v.spark._jsc.hadoopConfiguration()).exists(path)
 
 
 @query("SELECT n.source, o.version AS previous, n.version FROM (SELECT source, max(fetched_at) AS version FROM papers GROUP BY 1) n LEFT JOIN (SELECT source, max(fetched_at) AS version FROM papers WHERE published_date < DATE '2020-01-01' GROUP BY 1) o ON o.source = n.source WHERE o.version IS DISTINCT FROM n.version AND n.source IS NOT NULL", views=False)
@@ -392,12 +401,12 @@ def embed_documents(v: Views) -> DataFrame:
 
 # scalar packs
 
-_CUT = r"regexp_replace(substring(text, 1, 400), '(?s)\s[^\s]*$', '')"
+_CUT = r"regexp_replace(substring(text, 1, 400), '[ \t\n\x0B\f\r][^ \t\n\x0B\f\r]*$', '')"
 
 
-@query(f"SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE {_CUT} || '…' END AS snippet, CASE WHEN length(text) <= 45 THEN text ELSE substring(text, 1, 44) || '…' END AS clipped FROM documents WHERE NOT regexp_matches(substring(text, 1, 400), '[\\x{{80}}-\\x{{10FFFF}}]')".replace("\\\\", "\\"), views=False)
+@query(f"SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE {_CUT} || '…' END AS snippet, CASE WHEN length(text) <= 45 THEN text ELSE substring(text, 1, 44) || '…' END AS clipped FROM documents", views=False)
 def abstract_snippet(v: Views) -> DataFrame:
-    """Of every document; the SQL only has those whose first 400 characters are ASCII."""
+    """Of every document."""
     return v.raw("documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"), text.clip(F.col("text")).alias("clipped"))
 
 
@@ -406,24 +415,25 @@ def node_label(v: Views) -> DataFrame:
     return v.paper.select("id", text.node_label(F.col("title"), F.col("doi"), F.col("id")).alias("label"), text.display_id(F.col("arxiv_id"), F.col("pmid"), F.col("id")).alias("shown"))
 
 
-_JOURNAL = r"regexp_extract(journal_ref, '^(.*)\. ([0-9]{4});([0-9]+)\(([0-9]+)\):([0-9]+)$', 2)"
-
-
-@query(f"SELECT id, journal_ref AS rebuilt FROM paper WHERE {_JOURNAL} <> ''")
+@query("""SELECT id, nullif(n || CASE WHEN n <> '' AND r <> '' THEN '. ' ELSE '' END || r, '') AS built FROM (SELECT id, coalesce(journal_ref, '') AS n,
+coalesce(CAST(year(published_date) AS VARCHAR), '') || coalesce(';' || nullif(arxiv_id, ''), '') || coalesce('(' || nullif(pmid, '') || ')', '') || coalesce(':' || nullif(s2_paper_id, ''), '') AS r FROM paper)""")
 def journal_ref(v: Views) -> DataFrame:
-    """References taken apart and put together again."""
-    part = lambda i: F.regexp_extract("journal_ref", r"^(.*)\. ([0-9]{4});([0-9]+)\(([0-9]+)\):([0-9]+)$", i)
-    return v.paper.where(part(2) != "").select("id", text.journal_reference(*[part(i) for i in range(1, 6)]).alias("rebuilt"))
+    """References built of every paper's columns, with all patterns of missing pieces."""
+    return v.paper.select("id", text.journal_reference(F.col("journal_ref"), F.year("published_date").cast("string"), F.col("arxiv_id"), F.col("pmid"), F.col("s2_paper_id")).alias("built"))
 
 
-@query("SELECT id, published_date AS by_number, published_date AS by_name, make_date(year(published_date), 1, 1) AS by_year, make_date(year(published_date), 1, 1) AS by_free FROM paper WHERE published_date IS NOT NULL")
+@query("""SELECT id, coalesce(TRY_CAST(y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') AS DATE), TRY_CAST(y || '-01-01' AS DATE)) AS by_number,
+coalesce(TRY_CAST(y || '-' || lpad(CAST(month(published_date) AS VARCHAR), 2, '0') || '-' || lpad(d, 2, '0') AS DATE), TRY_CAST(y || '-01-01' AS DATE)) AS by_name,
+TRY_CAST(y || '-01-01' AS DATE) AS by_year, TRY_CAST(lpad(CAST(TRY_CAST(substring(free, 1, 4) AS INT) AS VARCHAR), 4, '0') || '-01-01' AS DATE) AS by_free
+FROM (SELECT id, published_date, CAST(year(published_date) AS VARCHAR) AS y, CAST(length(coalesce(title, '')) % 15 AS VARCHAR) AS m, CAST(length(coalesce(abstract, '')) % 33 AS VARCHAR) AS d, coalesce(y || ' Spring', 'Spring ' || source) AS free FROM paper)""".replace("coalesce(y || ' Spring'", "coalesce(CAST(year(published_date) AS VARCHAR) || ' Spring'"))
 def pub_date(v: Views) -> DataFrame:
-    """Dates taken apart and read again: by month number, by month name, by year alone, by free text."""
-    d = F.col("published_date")
-    y, none = F.year(d).cast("string"), F.lit(None).cast("string")
-    return v.paper.where("published_date is not null").select(
-        "id", text.published_date(y, F.month(d).cast("string"), F.day(d).cast("string"), none).alias("by_number"), text.published_date(y, F.date_format(d, "MMM"), F.day(d).cast("string"), none).alias("by_name"),
-        text.published_date(y, none, none, none).alias("by_year"), text.published_date(none, none, none, F.concat(y, F.lit(" Spring"))).alias("by_free"),
+    """Partial dates of every paper, with months from 0 to 14 and days from 0 to 32: by month number, by month name, by year alone, by free text."""
+    y, none = F.year("published_date").cast("string"), F.lit(None).cast("string")
+    m, d = ((F.length(F.coalesce(F.col(c), F.lit(""))) % n).cast("string") for c, n in (("title", 15), ("abstract", 33)))
+    free = F.coalesce(F.concat(y, F.lit(" Spring")), F.concat(F.lit("Spring "), "source"))
+    return v.paper.select(
+        "id", text.published_date(y, m, d, none).alias("by_number"), text.published_date(y, F.date_format("published_date", "MMM"), d, none).alias("by_name"),
+        text.published_date(y, none, none, none).alias("by_year"), text.published_date(none, none, none, free).alias("by_free"),
     )
 
 
