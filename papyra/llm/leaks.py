@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from papyra.llm.appearance import consistent_form
 from papyra.operators.skew import salted_left_join
-from papyra.session import Cut, tasks
+from papyra.session import Cut
 
 #: A leak is a run of at least so many words.
 MIN_WORDS = 12
@@ -202,7 +202,7 @@ def search_index(spark: SparkSession, index: Index, items: DataFrame, item: str
                     for d, i, *places in shard_matches(corpus, order, begins, tests, width):
                         yield pa.RecordBatch.from_arrays([docs.take(pa.array(d)), pa.array([names[x] for x in i], shape[1].type), *(pa.array(x.astype(np.int64)) for x in places)], schema=shape)
 
-        found = index.shards.repartition(tasks(spark)).mapInArrow(search, ", ".join(f"{f} {t}" for f, t in zip(shape.names, [*(x.simpleString() for x in types), "long", "long", "long"])))
+        found = index.shards.mapInArrow(search, ", ".join(f"{f} {t}" for f, t in zip(shape.names, [*(x.simpleString() for x in types), "long", "long", "long"])))
         out = found if out is None else out.unionByName(found)
     out = Cut(spark, "matches")(out)
     for side, same in ((key, index.copies), (named, copies.withColumnRenamed(item, named))):
