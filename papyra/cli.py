@@ -14,7 +14,7 @@ from papyra.functions.encoder import hashing_encoder
 from papyra.functions.text import snippet
 from papyra.operators import graph, search
 from papyra.registry import DEFAULT
-from papyra.session import build_session
+from papyra.session import build_session, clear_cuts
 from papyra.sources.biology import compound_crosswalk_from_files
 from papyra.sources.papers import article_papers, snapshot_papers
 from papyra.store import Store
@@ -190,11 +190,13 @@ def run(args: argparse.Namespace, spark) -> DataFrame | dict | int | None:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
-    out = run(args, spark or build_session())
+    spark = spark or build_session()
+    out = run(args, spark)
     if isinstance(out, DataFrame):
         out.show(100, truncate=100)
     elif out is not None:
         print(out)
+    clear_cuts(spark)
     return 0
 
 

@@ -45,15 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_made: list[str] = []
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Deletes everything that cuts of this process have written and not dropped. Only for when no result that reads it is needed any more, as after a query was written out."""
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Cut:
     """Writes intermediate results as Parquet in the shared folder, so that a lost executor never replays a long lineage.
 
     ``cut(df)`` writes and reads back; ``drop(df)`` deletes what an iterative operator no longer needs. What is not
-    dropped stays, as lazy results may still read it.
+    dropped stays, as lazy results may still read it, until ``clear_cuts``.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
+        _made.append(self.base)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{len(self.paths):04d}"
